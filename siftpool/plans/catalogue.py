@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftpool.plans import learning, screening, shaping
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return screening.QUERIES | shaping.QUERIES | learning.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return screening.SQL | shaping.SQL | learning.SQL
