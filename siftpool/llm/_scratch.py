@@ -1,35 +1,5 @@
-"""Intermediate tables in the folder that the driver and all executors share.
+"""Intermediate tables in the folder that the driver and all executors share."""
 
-A written table cuts lineage and outlives its writers, so a lost executor costs
-a re-read and never a restart of the whole job.
-"""
+from siftpool.sources.state import materialize, shared_root
 
-from __future__ import annotations
-
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only in local mode where that is unset."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = tempfile.mkdtemp(prefix="siftpool-")
-    atexit.register(shutil.rmtree, root, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{root}")
-    return f"file://{root}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and return a frame that reads it."""
-    path = f"{shared_root(df.sparkSession)}/siftpool/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "shared_root"]
