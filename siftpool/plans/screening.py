@@ -40,7 +40,8 @@ def _acquired(name: str, **how) -> None:  # noqa: ANN003
             best = select.kth_value(preds.join(v.explored(spark, d).select("row_idx"), "row_idx", "left_semi"), "mu", 20)
             preds, kw["best"] = preds.crossJoin(F.broadcast(best)), F.col("kth")
         out = acquire.utility(name, preds, **kw)
-        return out.select("row_idx", F.round("u", 6).alias("u") if name != "borda" else F.col("u").alias("u"))
+        exact = name in ("borda", "greedy")  # equal bit for bit in both engines
+        return out.select("row_idx", F.col("u") if exact else F.round("u", 6).alias("u"))
 
     run.__name__ = f"acq_{name}"
     gain = "(mu - best + 0.01)"
@@ -48,7 +49,6 @@ def _acquired(name: str, **how) -> None:  # noqa: ANN003
     sql = {
         "random": v.U,
         "threshold": f"CASE WHEN mu >= 25000.0 THEN {v.U} ELSE -1.0 END",
-        "greedy": "mu",
         "ucb": "mu + 2.0 * sqrt(var)",
         "lcb": "mu - 2.0 * sqrt(var)",
         "noisy": f"mu + (SELECT stddev_pop(mu) FROM preds) * {v.NORMAL}",
@@ -58,6 +58,8 @@ def _acquired(name: str, **how) -> None:  # noqa: ANN003
     }
     if name == "borda":
         text = f"WITH {v.PREDS} SELECT row_idx, row_number() OVER (ORDER BY mu, row_idx) - 1 AS u FROM preds"
+    elif name == "greedy":
+        text = f"WITH {v.PREDS} SELECT row_idx, mu AS u FROM preds"
     elif name in ("ei", "pi"):
         text = f"WITH {v.POOL}, {v.PREDS}, {v.EXPLORED}, {BEST} SELECT row_idx, round({sql[name]}, 6) AS u FROM preds, best"
     else:
