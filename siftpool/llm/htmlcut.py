@@ -35,11 +35,22 @@ INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "c
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS_P = frozenset(("address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"))
 SECTIONS = frozenset(("article", "section", "main", "div", "header", "footer", "nav", "aside", "body", "table", "ul", "ol"))
+#: Elements whose class and id speak of the page or of the article's subject.
+WHOLE = frozenset(("html", "body", "main", "article"))
 #: Words of class, id, role and label that speak against or for content.
 AGAINST = frozenset("ad ads advert advertisement advertising adbox banner banners billboard breadcrumb breadcrumbs byline captcha comment comments commentlist cookie cookies consent copyright discussion disqus footer gdpr header login masthead menu menubar modal nav navbar navigation navigational newsletter notice notices notification outbrain pager pagination paywall popup privacy promo promoted promotion recommended related replies reply respond search share sharing shares shoutbox sidebar sidebars signin signup skip social sponsor sponsored subscribe subscription taboola tags toc toolbar topbar widget widgets complementary contentinfo banner dialog alert alertdialog".split())
+#: Of these, such as stand for a part of an article as well.
+SOFT = frozenset("byline header privacy search tags toc".split())
+#: Words of a reader's comment; an article element of only these is no article.
+REMARK = frozenset("comment comments replies reply review reviews".split())
+#: A class name with one of these tells what the page has elsewhere.
+ABOUT = frozenset("has no with without".split())
+#: A short line outside an article with one of these is a notice.
+_RIGHTS = re.compile(r"©|\ball rights reserved\b|\bcopyright\b", re.I)
 FOR = frozenset("article articlebody body content contents entry main maincontent post postbody story storybody text".split())
+STRONG = (AGAINST | (REMARK - {"review", "reviews"})) - SOFT
 #: Log-odds of the classifier.
-BIAS, IN_ARTICLE, IN_MAIN, IN_HEADER, WORD_AGAINST, WORD_FOR, LINKS, LENGTH, STOPS, HEADING, PARAGRAPH, HIDDEN = -0.6, 4.0, 1.5, -3.0, -6.0, 1.0, -4.0, 0.35, 0.6, 0.3, 0.6, -9.0
+BIAS, IN_ARTICLE, IN_MAIN, IN_HEADER, WORD_AGAINST, WORD_SOFT, WORD_FOR, LINKS, LENGTH, STOPS, TITLE, HEADING, PARAGRAPH, HIDDEN, RIGHTS = -0.6, 4.0, 1.5, -3.0, -14.0, -6.0, 1.0, -4.0, 0.35, 0.6, 1.2, 0.3, 0.6, -14.0, -4.0
 #: Capacities of the smoothness edges, and of what may not be cut.
 NEXT, SIBLING, BORDER, FIXED = 0.5, 0.4, 0.1, 1e6
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -66,14 +77,12 @@ def _marks(tag: str, attributes: str) -> frozenset[str]:
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             out.add("!hidden")
         elif name != "aria-hidden":
-            for word in re.split(r"[^A-Za-z]+", value):
-                low = word.lower()
-                out.add(low)
-                out.update(p.lower() for p in _PARTS.findall(word))
-    found = {w for w in out if w in AGAINST or w in FOR or w == "!hidden"}
-    if tag in ("html", "body"):  # their classes speak of the whole page
-        found -= AGAINST | FOR
-    return frozenset(found)
+            for token in value.split():
+                words = {w.lower() for w in re.split(r"[^A-Za-z]+", token) if w}
+                words.update(p.lower() for p in _PARTS.findall(token))
+                if not words & ABOUT and (tag not in WHOLE or (tag == "article" and words and words <= REMARK)):
+                    out |= words
+    return frozenset(w for w in out if w in AGAINST or w in REMARK or w in FOR or w == "!hidden")
 
 
 def blocks(page: str) -> list[Block]:
@@ -164,10 +173,12 @@ def log_odds(block: Block) -> float:
     raw = sum(map(len, block.parts)) or 1
     value = BIAS
     value += IN_ARTICLE * ("article" in path) + IN_MAIN * ("main" in path)
-    value += WORD_AGAINST * bool(block.marks & AGAINST) + WORD_FOR * bool(block.marks & FOR) + HIDDEN * ("!hidden" in block.marks)
+    value += WORD_AGAINST * bool(block.marks & STRONG) + WORD_SOFT * bool(block.marks & SOFT)
+    value += WORD_FOR * bool(block.marks & FOR) + HIDDEN * ("!hidden" in block.marks)
+    value += RIGHTS * ("article" not in path and len(block.text) < 300 and bool(_RIGHTS.search(block.text)))
     value += LINKS * (block.linked / raw) ** 2 * (1 if "article" not in path else 0.5)
     value += LENGTH * math.log1p(len(block.text) / 20) + STOPS * (block.text[-1] in ".!?…\"'”’")
-    value += HEADING * (block.tag in ("h1", "h2", "h3")) + PARAGRAPH * (block.tag in ("p", "pre", "blockquote"))
+    value += TITLE * (block.tag == "h1") + HEADING * (block.tag in ("h2", "h3")) + PARAGRAPH * (block.tag in ("p", "pre", "blockquote"))
     return value
 
 

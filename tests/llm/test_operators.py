@@ -193,6 +193,27 @@ def test_html_boilerplate_without_semantic_tags():
     assert htmlcut.main_text(page) == "Title A first paragraph é of the main text, long enough. Short. Second. line"
 
 
+_PROSE = "Running prose that goes on for a while, with commas, and ends with a full stop. " * 6
+_REMARK = "UNWANTED remark that is quite long, has commas, and sounds like an article. " * 20
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<main><article class=post><h1>Wanted</h1><p>{_PROSE}</p><p>Wanted.</p><div id=comments><ol class=comment-list><li class=comment><div class=comment-body><p>{_REMARK}</p></div></ol></div></article></main>",
+        f"<article><p>Wanted {_PROSE}</p><ul class=commentlist><li><p class='text body'>{_REMARK}</ul><p>Wanted</p></article>",
+        f"<article><p>{_PROSE}</p><div class=ad-slot><p>{_REMARK}</p></div><p>Wanted Wanted</p></article>",
+        f"<article class='social-issues tags-politics' id=privacy-notice><h1>Wanted</h1><p>Wanted {_PROSE}</p></article>",
+        f"<main><article><p>Wanted {_PROSE}</p><p>Wanted</p></article><section><article class=comment><div class=content><p>{_REMARK}</p></div></article></section></main>",
+        f"<body><div><a href=/>UNWANTED</a> <a href=/x>UNWANTED</a></div><div><h1>Wanted</h1><div>Wanted {_PROSE}</div></div><div>UNWANTED © 2020 All rights reserved.</div></body>",
+        f"<div class='content has-sidebar'><p>Wanted {_PROSE}</p><p>Wanted</p></div><div class=newsletter><p>{_REMARK}</p></div>",
+    ],
+)
+def test_html_remarks_and_adverts_in_articles(page):
+    text = htmlcut.main_text(page)
+    assert "UNWANTED" not in text and text.count("Wanted") == 2 and _PROSE.strip() in text
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<!--", "<script>x", "</p></p>", "<a href='", "<p>" * 500, "&#x110000; &bogus; &amp"])
 def test_html_broken_pages(page):
     htmlcut.main_text(page)
