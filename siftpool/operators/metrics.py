@@ -68,10 +68,18 @@ def gaussian_nll(y: Column, mu: Column, var: Column, least: float = 1e-5) -> Col
     return 0.5 * (F.log(v) + (mu - y) * (mu - y) / v)
 
 
-def soft_ranks(df: DataFrame, key: str, value: str, scale: float) -> DataFrame:
-    """Each row's smooth rank, the sum over all rows of sigmoid of scaled differences; for one batch, as it pairs its rows."""
-    a, b = df.select(key, value), df.select(F.col(value).alias("_other"))
-    return a.crossJoin(F.broadcast(b)).groupBy(key).agg(F.sum(sigmoid((F.col(value) - F.col("_other")) / scale)).alias("soft_rank"))
+def soft_ranks(df: DataFrame, key: str, value: str, scale: float, size: int = 200) -> DataFrame:
+    """Each row's smooth rank in its batch: the sum over the batch of the sigmoid of scaled differences.
+
+    A batch has the rows of `size` consecutive integer keys, so what is paired is
+    bounded whatever the input's size. Keys are distinct; null values have and give no rank.
+    """
+    batch = F.floor(F.col(key) / size)
+    own = F.struct(F.col(key).alias("k"), F.col(value).alias("x"))
+    held = df.filter(F.col(value).isNotNull()).groupBy(batch.alias("_batch")).agg(F.collect_list(own).alias("_all"))
+    part = held.select("_all", F.explode("_all").alias("_own"))
+    rank = F.aggregate("_all", F.lit(0.0), lambda total, other: total + sigmoid((F.col("_own.x") - other["x"]) / scale))
+    return part.select(F.col("_own.k").alias(key), rank.alias("soft_rank"))
 
 
 def scaler(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -105,10 +105,10 @@ def data_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return metrics.quality_rules(df, "doc_id", _TASKS)
 
 
-@query(f"WITH {v.PREDS}, b AS (SELECT * FROM preds ORDER BY row_idx LIMIT 200) SELECT a.row_idx, round(sum(1 / (1 + exp(-(a.mu - c.mu) / 1000.0))), 4) AS soft_rank FROM b a, b c GROUP BY a.row_idx")
+@query(f"WITH {v.PREDS} SELECT a.row_idx, round(sum(1 / (1 + exp(-(a.mu - c.mu) / 1000.0))), 4) AS soft_rank FROM preds a JOIN preds c ON a.row_idx // 200 = c.row_idx // 200 GROUP BY a.row_idx")
 def soft_rank_pairwise(spark: SparkSession, d: str) -> DataFrame:
-    batch = v.preds(spark, d).orderBy("row_idx").limit(200)
-    return metrics.soft_ranks(batch, "row_idx", "mu", 1000.0).select("row_idx", F.round("soft_rank", 4).alias("soft_rank"))
+    ranked = metrics.soft_ranks(v.preds(spark, d), "row_idx", "mu", 1000.0, 200)
+    return ranked.select("row_idx", F.round("soft_rank", 4).alias("soft_rank"))
 
 
 _MONTHS = "m AS (SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS iter, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (CAST(count(*) AS DOUBLE) * 100) AS topk_avg FROM orders GROUP BY 1)"
