@@ -90,12 +90,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RUNS = "[array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]"
+
+
 def oracle_sql() -> dict[str, str]:
-    """Only exact dedup has an SQL form; the others are held against brute force in tests/llm."""
+    """SQL for what SQL can express on whole tables; the others are held against brute force in tests/llm."""
     return {
         "op5_exact_dedup": """
             WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents)
             SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
                    doc_id = max(doc_id) OVER (PARTITION BY x) AS kept, sha256(x) AS text_sha256
             FROM t""",
+        "op6_decontamination": rf"""
+            WITH words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+            items AS (SELECT item_id, row_number() OVER () AS nth, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark),
+            parts AS (SELECT DISTINCT nth, item_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE {_RUNS} END) AS s FROM items WHERE len(w) > 0),
+            sizes AS (SELECT nth, count(*) AS n_shingles FROM parts GROUP BY nth),
+            held AS (SELECT row_number() OVER () AS row, doc_id, w FROM words WHERE len(w) > 0),
+            shingles AS (SELECT row, doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE {_RUNS} END) AS s FROM held),
+            found AS (SELECT row, doc_id, nth, item_id, count(DISTINCT s) AS n_found FROM shingles JOIN parts USING (s) GROUP BY ALL)
+            SELECT doc_id, item_id, n_found, n_shingles, n_found / n_shingles AS containment FROM found JOIN sizes USING (nth) WHERE n_found >= 0.8 * n_shingles - 1e-9""",
+        "op10_minhash": rf"""
+            WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+            sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct({_RUNS})) END AS s FROM words),
+            classes AS MATERIALIZED (SELECT md5(array_to_string(s, chr(10))) AS c, any_value(s) AS s, len(any_value(s)) AS n, min(doc_id) AS least FROM sets WHERE len(s) > 0 GROUP BY 1),
+            shingles AS MATERIALIZED (SELECT least AS id, n, unnest(s) AS s FROM classes),
+            links AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM shingles a JOIN shingles b ON a.s = b.s AND a.id <> b.id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+              GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+            reach AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+            roots AS (SELECT u AS least, least(u, min(v)) AS root FROM reach GROUP BY u)
+            SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(r.root, c.least, d.doc_id) AS component_id, coalesce(r.root, c.least, d.doc_id) = d.doc_id AS kept
+            FROM sets d LEFT JOIN classes c ON len(d.s) > 0 AND c.c = md5(array_to_string(d.s, chr(10))) LEFT JOIN roots r ON r.least = c.least""",
     }

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pyspark.sql.functions as F
 import pytest
 
@@ -14,6 +15,8 @@ from siftpool.llm import bpe, cotrain, decontam, exact, htmlcut, langid, neardup
 
 from .conftest import SMALL
 
+SQL_TABLES = "/root/testdata/sf0.01"
+
 
 def texts_of(documents):
     return {r["doc_id"]: r["text"] for r in documents.collect()}
@@ -556,3 +559,15 @@ def test_pipeline_stages(spark):
     assert ids[4] == ids[3] - hit
     final = {r["doc_id"]: r["n_tokens"] for r in cp.run(spark, SMALL).collect()}
     assert set(final) == ids[4]
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_against_sql(spark, name):
+    duck = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SQL_TABLES}/{table}.parquet'")
+    df = queries.queries()[name](spark, SQL_TABLES)
+    expected = duck.sql(queries.oracle_sql()[name])
+    assert sorted(expected.columns) == sorted(df.columns)
+    wanted = Counter(expected.select(*(duckdb.ColumnExpression(c) for c in df.columns)).fetchall())
+    assert wanted and Counter(tuple(r) for r in df.collect()) == wanted
