@@ -1,7 +1,8 @@
 """Substring dedup over sliding runs of sentences.
 
 A text is cut into units: sentences (ending at . ! ? before white space, or at
-a line end), long ones again after every UNIT words. Each run of RUN
+a line end), long ones again after words whose hash says so and after UNIT words
+at most, so that a passage is cut alike wherever it stands. Each run of RUN
 consecutive units, lengthened forwards or backwards until it has LEAST words,
 is hashed; equal runs are found across all documents, and a unit goes when any
 run covering it occurs earlier: in a document of a smaller id, or before it in
@@ -23,6 +24,8 @@ from ._scratch import materialize
 from ._skew import spread_join
 
 UNIT, RUN, LEAST = 16, 3, 12
+#: One word of so many ends a unit inside a long sentence.
+ENDS = 8
 _SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s|$)[^\n.!?]*)*(?:[.!?]+|\n|$)\s*")
 _WORD = re.compile(r"\S+\s*")
 #: Stands for a null doc_id, so that rows without one come last.
@@ -39,12 +42,13 @@ def units(text: str, size: int = UNIT) -> list[tuple[int, int, int, int]]:
         if len(words) <= size:
             out.append((begin, m.end(), len(words), xxhash.xxh3_64_intdigest(" ".join(words))))
             continue
-        ends = [w.end() for w in _WORD.finditer(text, begin, m.end())]
-        for i in range(0, len(words), size):
-            end = m.end() if i + size >= len(words) else ends[i + size - 1]
-            part = words[i : i + size]
-            out.append((begin, end, len(part), xxhash.xxh3_64_intdigest(" ".join(part))))
-            begin = end
+        first = 0
+        for i, w in enumerate(_WORD.finditer(text, begin, m.end()), 1):
+            last = i == len(words)
+            if last or i - first == size or xxhash.xxh3_64_intdigest(words[i - 1]) % ENDS == 0:
+                end = m.end() if last else w.end()
+                out.append((begin, end, i - first, xxhash.xxh3_64_intdigest(" ".join(words[first:i]))))
+                begin, first = end, i
     return out
 
 
