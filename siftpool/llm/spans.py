@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ._scratch import materialize
 from ._skew import spread_join
+from ._text import mix
 
 UNIT, RUN, LEAST = 16, 3, 12
 #: One word of so many ends a unit inside a long sentence.
@@ -30,6 +31,11 @@ _SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s|$)[^\n.!?]*)*(?:[.!?]+|\n|$)\s*
 _WORD = re.compile(r"\S+\s*")
 #: Stands for a null doc_id, so that rows without one come last.
 LAST = 2**63 - 1
+#: Run hashes sent to Spark at once.
+AT_ONCE = 50_000
+_BASE = np.uint64(0x9E3779B97F4A7C17)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+_POWERS = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
 def units(text: str, size: int = UNIT) -> list[tuple[int, int, int, int]]:
@@ -52,38 +58,54 @@ def units(text: str, size: int = UNIT) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def runs(found: list[tuple[int, int, int, int]], run: int = RUN, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """(first unit, unit after the last, hash) of every run; units without words join no run's count."""
-    at = [i for i, u in enumerate(found) if u[2]]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _BASE and of its inverse, modulo 2**64."""
+    global _POWERS
+    if len(_POWERS[0]) < n:
+        _POWERS = tuple(np.cumprod(np.append(np.uint64(1), np.full(2 * n, b, np.uint64)), dtype=np.uint64) for b in (_BASE, _INVERSE))
+    return _POWERS
+
+
+def runs(found: list[tuple[int, int, int, int]], run: int = RUN, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First unit, unit after the last and hash (uint64) of every run, by first unit; units without words join no run's count.
+
+    A run's hash is a polynomial in its units' hashes, taken from sums over prefixes.
+    """
+    words = np.fromiter((u[2] for u in found), np.int64, len(found))
+    at = np.flatnonzero(words)
     n = len(at)
     if n < run:
-        return []
-    total = np.concatenate([[0], np.cumsum([found[i][2] for i in at])])
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    own = np.fromiter((u[3] for u in found), np.uint64, len(found))[at]
+    total = np.concatenate([[0], np.cumsum(words[at])])
     start = np.arange(n)
     ahead = np.maximum(start + run, np.searchsorted(total, total[:-1] + least))
     back = np.minimum(start + 1 - run, np.searchsorted(total, total[1:] - least, "right") - 1)
-    pairs = {(int(i), int(j)) for i, j in zip(start, ahead, strict=True) if j <= n}
-    pairs |= {(int(i), int(j) + 1) for i, j in zip(back, start, strict=True) if i >= 0}
-    raw = np.array([found[i][3] for i in at], np.uint64).tobytes()
-    return [(at[i], at[j - 1] + 1, xxhash.xxh3_64_intdigest(raw[8 * i : 8 * j])) for i, j in sorted(pairs)]
+    fits, has = ahead <= n, back >= 0
+    pairs = np.unique(np.concatenate([start[fits] * (n + 1) + ahead[fits], back[has] * (n + 1) + start[has] + 1]))
+    i, j = pairs // (n + 1), pairs % (n + 1)
+    power, inverse = _powers(n)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(own * power[:n], out=prefix[1:])
+    return at[i], at[j - 1] + 1, mix((prefix[j] - prefix[i]) * inverse[i] + (j - i).astype(np.uint64))
 
 
-def cut(text: str, repeated: set[int], **how: int) -> tuple[str, int, int]:
-    """The text without units under a run in `repeated` or under a later copy of its own run; units and units removed."""
+def cut(text: str, repeated: np.ndarray, **how: int) -> tuple[str, int, int]:
+    """The text without units under a run in `repeated` (uint64) or under a later copy of its own run; units and units removed."""
     found = units(text, how.get("unit", UNIT))
-    gone, seen = np.zeros(len(found) + 1, np.int64), set()
-    for i, j, h in runs(found, how.get("run", RUN), how.get("least", LEAST)):
-        if h in repeated or h in seen:
-            gone[i] += 1
-            gone[j] -= 1
-        seen.add(h)
+    first, end, hashes = runs(found, how.get("run", RUN), how.get("least", LEAST))
+    out = np.ones(len(hashes), bool)
+    out[np.unique(hashes, return_index=True)[1]] = False
+    if len(repeated):
+        out |= np.isin(hashes, repeated)
+    if not out.any():
+        return text, len(found), 0
+    gone = np.zeros(len(found) + 1, np.int64)
+    np.add.at(gone, first[out], 1)
+    np.add.at(gone, end[out], -1)
     covered = np.cumsum(gone)[:-1] > 0
-    kept = "".join(text[u[0] : u[1]] for u, out in zip(found, covered, strict=True) if not out)
-    return (kept if covered.any() else text), len(found), int(covered.sum())
-
-
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
+    kept = "".join([text[u[0] : u[1]] for u, c in zip(found, covered.tolist(), strict=True) if not c])
+    return kept, len(found), int(covered.sum())
 
 
 def dedup_spans(
@@ -102,16 +124,20 @@ def dedup_spans(
     docs = docs.drop("n_units", "n_removed", "first_ids")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(ids: list[int], values: list[np.ndarray]) -> pa.RecordBatch:
+            every = np.concatenate([*values, np.zeros(0, np.uint64)])
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), [len(x) for x in values])), pa.array(every.view(np.int64))], ["_id", "_h"])
+
         for b in batches:
-            ids, values = [], []
+            ids, values, held = [], [], 0
             for doc, text in zip(b[0].to_pylist(), b[1], strict=True):
-                own = {h for _, _, h in runs(units(text.as_py() or "", unit), run, least)}
-                values += own
-                ids += [doc] * len(own)
-                if len(values) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _signed(values)], ["_id", "_h"])
-                    ids, values = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _signed(values)], ["_id", "_h"])
+                ids.append(doc)
+                values.append(np.unique(runs(units(text.as_py() or "", unit), run, least)[2]))
+                held += len(values[-1])
+                if held > AT_ONCE:
+                    yield batch(ids, values)
+                    ids, values, held = [], [], 0
+            yield batch(ids, values)
 
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     spans = materialize(docs.select(key.alias("_id"), F.col(text_col)).mapInArrow(hashes, "_id long, _h long"), "runs")
@@ -128,7 +154,7 @@ def dedup_spans(
         for b in batches:
             texts, counts, removed = [], [], []
             for text, hs in zip(b.column(at), b.column(len(names)), strict=True):
-                own = {h & (2**64 - 1) for h in hs.as_py() or ()}
+                own = hs.values.to_numpy(zero_copy_only=False).view(np.uint64) if hs.is_valid else np.zeros(0, np.uint64)
                 text = text.as_py()
                 new, n, k = cut(text, own, **how) if text is not None else (None, 0, 0)
                 texts.append(new)

@@ -123,7 +123,7 @@ def test_spans_find_a_passage_without_sentences_at_any_word():
     passage = " ".join(f"p{i * 7919 % 1000}" for i in range(60))
     for k in range(12):
         one, two = (" ".join(f"{c}{i * 31 % 97}" for i in range(k)) for c in "ab")
-        known = {h for _, _, h in spans.runs(spans.units(f"{one} {passage} tail of one."))}
+        known = spans.runs(spans.units(f"{one} {passage} tail of one."))[2]
         text, n, removed = spans.cut(f"{two} {passage} end", known)
         assert removed >= 3 and len(text.split()) < 30 + k and text.startswith(two.split(" ")[0])
 
