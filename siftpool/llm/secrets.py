@@ -26,7 +26,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]*?)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nrt])*?)-----END \1-----")
+#: Line ends as source code and JSON write them.
+_ESCAPED = re.compile(r"\\[nrt]")
 _DER = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-Za-z0-9+/_-]{39,}={0,2}")
 _DERHEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
 _SSH = re.compile(r"(?<![A-Za-z0-9+/])b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/]+={0,2}")
@@ -136,7 +138,7 @@ def scan(text: str) -> list[tuple[int, int, int]]:
         out += [(m.start(), 3, m.end()) for m in _JWT.finditer(text) if is_token(m[0])]
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            data = base64_bytes(m[2])
+            data = base64_bytes(_ESCAPED.sub("", m[2]))
             if data and (is_private_key(data) or is_ssh_key(data)):
                 out.append((m.start(), 4, m.end()))
     out += [(m.start(), 5, m.end()) for m in _DER.finditer(text) if (d := base64_bytes(m[0])) and is_private_key(d)]

@@ -165,6 +165,7 @@ def test_secret_structures():
     assert any(secrets.KINDS[k] == "derhex" for _, k, _ in secrets.scan(rsa.hex().upper()))
     pem = f"-----BEGIN RSA PRIVATE KEY-----\n{coded[:64]}\n{coded[64:]}\n-----END RSA PRIVATE KEY-----"
     assert any(secrets.KINDS[k] == "pem" for _, k, _ in secrets.scan(pem))
+    assert any(secrets.KINDS[k] == "pem" and e - s == len(json.dumps(pem)) - 2 for s, k, e in secrets.scan(f"key: {json.dumps(pem)},"))
     b64 = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
     token = f"{b64({'alg': 'HS256'})}.{b64({'sub': 1})}.abc"
     assert [(secrets.KINDS[k], s) for s, k, _ in secrets.scan(f"t {token}")] == [("jwt", 2)]
