@@ -1,8 +1,9 @@
 """Substring dedup over sliding runs of sentences.
 
 A text is cut into units: sentences (ending at . ! ? before white space, or at
-a line end), long ones again after words whose hash says so and after UNIT words
-at most, so that a passage is cut alike wherever it stands. Each run of RUN
+a line end), and wherever UNIT words in a row close no sentence, again after the
+word of the least hash among them. So a passage is cut alike wherever it stands:
+4 * UNIT + 1 words hold RUN whole units, whatever is around them. Each run of RUN
 consecutive units, lengthened forwards or backwards until it has LEAST words,
 is hashed; equal runs are found across all documents, and a unit goes when any
 run covering it occurs earlier: in a document of a smaller id, or before it in
@@ -24,9 +25,7 @@ from ._scratch import materialize
 from ._skew import spread_join
 from ._text import mix
 
-UNIT, RUN, LEAST = 16, 3, 12
-#: One word of so many ends a unit inside a long sentence.
-ENDS = 8
+UNIT, RUN, LEAST = 12, 3, 12
 _SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s|$)[^\n.!?]*)*(?:[.!?]+|\n|$)\s*")
 _WORD = re.compile(r"\S+\s*")
 #: Stands for a null doc_id, so that rows without one come last.
@@ -36,25 +35,52 @@ AT_ONCE = 50_000
 _BASE = np.uint64(0x9E3779B97F4A7C17)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _POWERS = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_LOWER = np.uint64(2**32 - 1)
+_UPPER = ~_LOWER
+
+
+def _ends(words: list[str], closing: np.ndarray, size: int) -> list[int]:
+    """Places of the words that end a unit: of each window of `size` words, the last that closes a sentence, or else the one of the least hash.
+
+    What a window chooses depends on its own words alone, and so do all places
+    from the first to the last that windows inside a passage choose. They are
+    `size` words apart at most, the first within `size` words of the passage's start.
+    """
+    n = len(words)
+    if n < size or not (np.diff(closing, prepend=-1) > size).any():
+        return closing.tolist()
+    least = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n) & _UPPER
+    least[closing] = 0
+    least |= _LOWER - np.arange(n, dtype=np.uint64)
+    span = 1
+    while span < size:
+        step = min(span, size - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
+    chosen = np.zeros(n, bool)
+    chosen[(_LOWER - (least & _LOWER)).astype(np.int64)] = True
+    chosen[closing] = True
+    return np.flatnonzero(chosen).tolist()
 
 
 def units(text: str, size: int = UNIT) -> list[tuple[int, int, int, int]]:
     """(start, end, words, hash) of each unit; the units cover the text without gaps."""
-    out = []
+    out, words, sentences = [], [], []
     for m in _SENTENCE.finditer(text):
-        if not m[0]:
-            continue
-        begin, words = m.start(), m[0].split()
-        if len(words) <= size:
-            out.append((begin, m.end(), len(words), xxhash.xxh3_64_intdigest(" ".join(words))))
-            continue
-        first = 0
-        for i, w in enumerate(_WORD.finditer(text, begin, m.end()), 1):
-            last = i == len(words)
-            if last or i - first == size or xxhash.xxh3_64_intdigest(words[i - 1]) % ENDS == 0:
-                end = m.end() if last else w.end()
-                out.append((begin, end, i - first, xxhash.xxh3_64_intdigest(" ".join(words[first:i]))))
-                begin, first = end, i
+        if m[0]:
+            words += m[0].split()
+            sentences.append((m.start(), m.end(), len(words)))
+    full = [n for (_, _, n), (_, _, before) in zip(sentences, [(0, 0, 0), *sentences], strict=False) if n > before]
+    ends, k, first = _ends(words, np.array(full, np.int64) - 1, size), 0, 0
+    for begin, stop, last in sentences:
+        places = _WORD.finditer(text, begin, stop) if first < last and ends[k] < last - 1 else ()
+        for place, m in enumerate(places, first):
+            if place == ends[k] and place < last - 1:
+                out.append((begin, m.end(), place + 1 - first, xxhash.xxh3_64_intdigest(" ".join(words[first : place + 1]))))
+                begin, first, k = m.end(), place + 1, k + 1
+        out.append((begin, stop, last - first, xxhash.xxh3_64_intdigest(" ".join(words[first:last]))))
+        k += first < last
+        first = last
     return out
 
 

@@ -128,6 +128,21 @@ def test_spans_find_a_passage_without_sentences_at_any_word():
         assert removed >= 3 and len(text.split()) < 30 + k and text.startswith(two.split(" ")[0])
 
 
+def test_spans_find_a_passage_of_51_words_at_every_offset():
+    def text(name, words, length, lead):
+        return [f"{name}{i * 7919 % 10007}" + "." * ((i + lead) % length == length - 1) for i in range(words)]
+
+    for length in (5, 8, 12, 13, 15, 16, 20, 40):
+        source = text("s", 130, length, 0)
+        known = spans.runs(spans.units(" ".join(source)))[2]
+        for k in range(len(source) - 50):
+            for place in (0, 7, 33):
+                copy = text("c", 60, length, k)
+                copy[place:place] = source[k : k + 51]
+                out, _, removed = spans.cut(" ".join(copy), known)
+                assert removed >= 3 and len(out.split()) <= 60 + 24, (length, k, place)
+
+
 def test_units_cover_the_text():
     for text in ("", "A. B!  C\n\nD e f", "x" * 50 + " y.z w", "no end " * 40, "…\n.?! a"):
         found = spans.units(text)
