@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import materialize
-from ._skew import keep_rows, spread_join
+from ._skew import spread_join
 from ._text import WIDTH, flat, lists, mix, shingle_hashes, shingle_sets, spans_of, word_hashes
 
 BANDS, ROWS = 32, 6
 #: Members of a block in step 3.
 BLOCK = 256
 LAST = 2**63 - 1
+#: What rows of one class have in common: size and digest of the set.
+SAME = ["size", "s1", "s2"]
 
 _RANDOM = np.random.default_rng(20)
 _A = _RANDOM.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -57,6 +59,14 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return mix((parts * _MIXER).sum(axis=2, dtype=np.uint64) + mix(np.arange(BANDS, dtype=np.uint64)))
 
 
+def _digest(own: np.ndarray) -> tuple[int, np.int64, np.int64]:
+    """Size and 128-bit digest of a set of shingles; zeros for the empty set."""
+    if not len(own):
+        return 0, np.int64(0), np.int64(0)
+    one, two = np.bitwise_xor.reduce(mix(own)), mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+    return len(own), one.view(np.int64), two.view(np.int64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for low, high in spans_of(b[1], 1 << 18):
@@ -67,14 +77,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(minima(values, starts)) if len(full) else np.zeros((0, BANDS), np.uint64)
             n, one, two = (np.zeros(high - low, np.int64) for _ in range(3))
             for row, a in zip(full, starts, strict=True):
-                own = np.unique(values[a : a + kept[row]])
-                n[row] = len(own)
-                one[row] = np.bitwise_xor.reduce(mix(own)).view(np.int64)
-                two[row] = mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)
+                n[row], one[row], two[row] = _digest(np.unique(values[a : a + kept[row]]))
             rows = [np.zeros(0, np.uint64)] * (high - low)
             for row, own in zip(full, keys, strict=True):
                 rows[row] = own
-            yield pa.RecordBatch.from_arrays([b[0].slice(low, high - low), pa.array(n), pa.array(one), pa.array(two), lists(rows, pa.int64())], ["id", "n", "s1", "s2", "keys"])
+            given = [b[0].slice(low, high - low), b[2].slice(low, high - low)]
+            yield pa.RecordBatch.from_arrays([*given, pa.array(n), pa.array(one), pa.array(two), lists(rows, pa.int64())], ["id", "t", "size", "s1", "s2", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,23 +160,18 @@ def _across(percent: int):  # noqa: ANN202
     return links
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each row of docs, in no order.
+def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures (id, t, size, s1, s2, keys, row) of all rows, and for every class (size, s1, s2) its number of rows `n`,
+    the least id `component` of its component, null without any, and the row `lead` that stands for it then.
 
-    Words are runs of characters other than \\x20 and \\x09-\\x0D, A-Z lower-cased;
-    a set holds WIDTH-word shingles, or with fewer words the whole sequence. Rows
-    without words, or of null text, have an empty set, link with nothing and are
-    their own component. Two rows link if 100 * |intersection| >= percent *
-    |union|; component_id is the least id reachable, kept tells whether it is the
-    row's own. Rows that share an id are one node with several sets. Rows of null
-    id are one node with the largest id; their component_id is null if nothing
-    else is in it. An empty table gives an empty result.
+    Nodes are classes, numbered as they are written, so rows of null or of shared ids do not join what else they hold.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"))
-    kinds = "id long, n long, s1 long, s2 long, keys array<long>"
-    signed = materialize(rows.mapInArrow(_signatures, kinds), "signatures")
-    same = ["n", "s1", "s2"]
-    classes = materialize(signed.filter("n > 0").groupBy(*same).agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows")), "classes")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("t"))
+    kinds = "id long, t long, size long, s1 long, s2 long, keys array<long>"
+    signed = materialize(rows.mapInArrow(_signatures, kinds).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    first = F.min(F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), "t"))
+    classes = signed.filter("size > 0").groupBy(*SAME).agg(F.min("id").alias("least"), first.alias("first"), F.min("row").alias("row"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows"))
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     banded = classes.select("id", F.explode("keys").alias("key"))
     mark = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y")]
@@ -178,8 +181,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = materialize(members, "members")
 
     held = members.groupBy("id").agg(F.count(F.lit(1)).alias("held"))
-    candidates = held.join(classes.select("id").distinct(), "id")
-    sets = materialize(rows.join(candidates.select("id"), "id").select("id", "text").mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id", "shingles"]), "sets")
+    candidates = materialize(classes.select("id", "rows", F.col("first.id").alias("_id"), F.col("first.t").alias("t")).join(held.select("id"), "id"), "candidates")
+    texts = rows.select(F.coalesce("id", F.lit(LAST)).alias("_id"), "t", "text")  # a class's first text is that of an id and a hash
+    texts = spread_join(texts, candidates.drop("rows"), ["_id", "t"], F.monotonically_increasing_id(), counts=candidates.select("_id", "t", F.col("rows").alias("n")))
+    sets = materialize(texts.select("id", "text").mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
 
     hubs = members.join(held, "id").groupBy("key").agg(F.max(F.struct("held", (-F.col("id")).alias("i"))).alias("top")).select("key", (-F.col("top.i")).alias("hub"))
     first = spread_join(members, hubs, ["key"], F.col("id")).filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
@@ -205,15 +210,73 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links = links.unionByName(materialize(found, "late_links"))
         roots = materialize(stars(links), "roots_all")
 
-    rooted = classes.join(roots, "id", "left").select(F.col("n").alias("size"), "s1", "s2", "rows", F.coalesce("root", "id").alias("component"))
-    parts = ["size", "s1", "s2"]
-    sized = signed.filter("n > 0").select("id", F.col("n").alias("size"), "s1", "s2")
-    sized = spread_join(sized, rooted.drop("rows"), parts, F.col("id"), counts=rooted.select(*parts, F.col("rows").alias("n")))
-    out = sized.select("id", F.col("size").alias("n"), "component").unionByName(signed.filter("n = 0").select("id", "n", F.col("id").alias("component")))
-    return out.select(F.nullif("id", F.lit(LAST)).alias("id"), F.col("n").alias("n_shingles"), F.nullif("component", F.lit(LAST)).alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    rooted = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    stands = F.min(F.struct(*SAME, "row"))["row"]
+    lead = rooted.groupBy("root").agg(F.min("least").alias("component"), stands.alias("lead"))
+    return signed, materialize(rooted.select(*SAME, F.col("rows").alias("n"), "root").join(lead, "root").drop("root"), "components")
+
+
+def _placed(signed: DataFrame, found: DataFrame) -> DataFrame:
+    sized = spread_join(signed.filter("size > 0").select("id", *SAME, "row"), found.drop("n"), SAME, F.col("row"), counts=found.select(*SAME, "n"))
+    kept = F.when(F.col("component").isNull(), F.col("row") == F.col("lead")).otherwise(F.coalesce(F.col("id") == F.col("component"), F.lit(False)))
+    out = sized.select("id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+    return out.unionByName(signed.filter("size = 0").select("id", F.col("size").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("kept")))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for each row of docs, in no order.
+
+    Words are runs of characters other than \\x20 and \\x09-\\x0D, A-Z lower-cased;
+    a set holds WIDTH-word shingles, or with fewer words the whole sequence. Rows
+    without words, or of null text, have an empty set, link with nothing and are
+    their own component. Two rows link if 100 * |intersection| >= percent *
+    |union|, and not because their ids are null or equal; component_id is the
+    least id reachable, kept tells whether it is the row's own. A component of
+    null ids alone has a null component_id, and one of its rows is kept. An empty
+    table gives an empty result.
+    """
+    return _placed(*_components(docs, id_col, text_col, percent))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """docs with one row for each component of near_groups: the one with the least id (of rows that share it, the least by all columns)."""
-    groups = near_groups(docs, id_col, text_col, percent)
-    return keep_rows(docs, groups.filter("kept").select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col)), id_col)
+    """docs with one row for each component of near_groups: the one with the least id; without ids, the least by all columns.
+
+    An id stays once: of several rows that share it and are kept, the least by all
+    columns. Rows of null id that resemble nothing all stay.
+    """
+    signed, found = _components(docs, id_col, text_col, percent)
+    kept = _placed(signed, found).filter("kept AND id IS NOT NULL").select(F.col("id").alias("_id"))
+    keyed = docs.withColumn("_id", F.col(id_col).cast("long"))
+    shared = signed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL").select(F.col("id").alias("_id"))
+    shared = materialize(shared, "shared")
+    if shared.isEmpty():
+        return keyed.join(kept, "_id", "left_semi").select(*docs.columns)
+    names = keyed.columns
+    at = names.index(text_col)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = np.array([_digest(x) for x in shingle_sets(b.column(at))], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, own.T.copy())], [*names, "_size", "_s1", "_s2"])
+
+    # The few rows without an id of their own are placed by their sets.
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
+    odd = keyed.filter("_id IS NULL").unionByName(keyed.join(shared, "_id", "left_semi").select(*names))
+    odd = odd.mapInArrow(digests, f"{kinds}, _size long, _s1 long, _s2 long")
+    where = ["_size", "_s1", "_s2"]
+    classes = found.toDF(*(where[SAME.index(c)] if c in SAME else c if c == "n" else f"_{c}" for c in found.columns))
+    met = spread_join(odd.filter("_size > 0"), classes.drop("n"), where, F.xxhash64(*docs.columns), counts=classes.select(*where, "n"))
+    row = F.struct(*docs.columns).alias("_row")
+    empty = odd.filter("_size = 0")
+    own = met.filter("_id = _component").select("_id", row).unionByName(empty.filter("_id IS NOT NULL").select("_id", row))
+    alone = met.filter("_component IS NULL").select("_lead", row)
+    parts = [
+        keyed.join(kept.join(shared, "_id", "left_anti"), "_id", "left_semi").select(*docs.columns),
+        own.groupBy("_id").agg(F.min("_row").alias("_row")).select("_row.*"),
+        alone.groupBy("_lead").agg(F.min("_row").alias("_row")).select("_row.*"),
+        empty.filter("_id IS NULL").select(*docs.columns),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -558,6 +558,26 @@ def test_near_odd_rows(spark, odd):
     assert neardup.near_dedup(odd.limit(0)).count() == 0
 
 
+def test_near_rows_of_null_and_shared_ids(spark):
+    def text(name, n=40):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    rows = [
+        (5, text("a")), (None, text("a") + " more"), (7, text("b")), (None, text("b") + " more"),  # two pairs, by null ids
+        *((None, text(f"alone{i}")) for i in range(6)), (None, text("x")), (None, text("x")), (None, text("x") + " more"), (None, None), (None, ""),
+        (1, text("p")), (9, text("p") + " more"), (9, text("q")), (8, text("q") + " more"),  # 9 is near 1 and near 8, with two texts
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(tuple(r) for r in neardup.near_groups(docs, percent=85).collect())
+    assert sum(got.values()) == len(rows)
+    of = {(i, c): k for i, _, c, k in got}
+    assert of[5, 5] and of[7, 7] and of[1, 1] and of[8, 8] and not of[9, 1] and not of[9, 8] and not of[None, 5] and not of[None, 7]
+    assert sum(n for (i, _, c, k), n in got.items() if i is None and c is None and k) == 9
+    kept = Counter((r["doc_id"], r["text"]) for r in neardup.near_dedup(docs).collect())
+    least = Counter([(5, text("a")), (7, text("b")), (None, None), (None, ""), (1, text("p")), (8, text("q") + " more"), (None, text("x"))])
+    assert kept == least + Counter((None, text(f"alone{i}")) for i in range(6))
+
+
 # Pipeline
 
 
