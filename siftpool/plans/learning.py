@@ -170,12 +170,12 @@ def ridge_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def rf_mean_var(spark: SparkSession, d: str) -> DataFrame:
-    return surrogate.forest(v.table(spark, d, "embeddings").withColumn("y", F.col("label").cast("double")), "embedding", "y", trees=10).select("vec_id", "mu", "var")
+    return surrogate.forest(v.table(spark, d, "embeddings").withColumn("y", F.col("label").cast("double")), "embedding", "y", trees=100, depth=8).select("vec_id", "mu", "var")
 
 
 @query()
 def boosted_mean(spark: SparkSession, d: str) -> DataFrame:
-    return surrogate.boosted(v.table(spark, d, "embeddings").withColumn("y", F.col("label").cast("double")), "embedding", "y", rounds=3).select("vec_id", "mu")
+    return surrogate.boosted(v.table(spark, d, "embeddings").withColumn("y", F.col("label").cast("double")), "embedding", "y", rounds=100).select("vec_id", "mu")
 
 
 @query()

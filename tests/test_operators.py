@@ -242,3 +242,14 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = ("window_start", "event_type", "n", "best")
     assert values(spark.table("leaders"), *key) == values(windowed(events), *key)
+
+
+def test_tree_queries_have_the_references_size(spark, monkeypatch):
+    from siftpool.plans import learning
+
+    took = []
+    for name in ("forest", "boosted"):
+        monkeypatch.setattr(surrogate, name, lambda df, *_, **how: took.append(how) or df.selectExpr("*", "0D AS mu", "0D AS var"))
+    learning.rf_mean_var(spark, "/root/testdata/sf0.001")
+    learning.boosted_mean(spark, "/root/testdata/sf0.001")
+    assert took == [{"trees": 100, "depth": 8}, {"rounds": 100}]
