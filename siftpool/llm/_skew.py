@@ -1,4 +1,4 @@
-"""Joins that hold when one key has a third of the rows."""
+"""Joins that hold when one key has a third of the rows, and that move few rows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A key with more than 1/SHARES of the rows is dealt over several tasks; there are fewer than SHARES such keys.
 SHARES = 500
+#: Bits of the table that probable() broadcasts: 64 in a row, so at most 2**18 rows of 12 bytes whatever the input.
+BITS = 24
 
 
 def spread_join(
@@ -41,18 +43,17 @@ def spread_join(
     return dealt.drop("_fan").join(copies.drop("_fan"), [*on, "_salt"], how).drop("_salt")
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of docs whose key is in ids, one row for a key. A null key in ids selects one of the null rows.
+def probable(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """rows with `_maybe`: false only where the 64-bit key is none of wanted's (its one column, not null).
 
-    Only keys that several rows share are grouped; which of their rows stays is the
-    least by all columns, so the outcome does not depend on partitioning.
+    Rows marked false need no join with the wanted keys and so no shuffle; the
+    others, true ones and a share of false ones that grows with the number of
+    keys, still need the exact join. The table behind it has one bit for each of
+    2**BITS hashes, so its size has a bound.
     """
-    wanted = ids.select(F.col(key).alias("_id")).distinct()
-    found = docs.join(wanted, docs[key].eqNullSafe(wanted["_id"]), "left_semi")
-    repeated = (
-        docs.groupBy(F.col(key).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id")
-    )
-    single = found.join(repeated, found[key].eqNullSafe(repeated["_id"]), "left_anti")
-    several = found.join(repeated, found[key].eqNullSafe(repeated["_id"]), "left_semi")
-    least = several.groupBy(F.col(key).alias("_id")).agg(F.min(F.struct(*several.columns)).alias("_row"))
-    return single.unionByName(least.select("_row.*"))
+    spot = F.pmod(F.col("_h"), F.lit(1 << BITS))
+    held = wanted.toDF("_h").select(F.shiftright(spot, 6).alias("_word"), F.expr(f"shiftleft(1L, CAST(pmod(_h, {1 << BITS}) & 63 AS INT))").alias("_bit"))
+    words = held.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.withColumn("_h", key).withColumn("_word", F.shiftright(spot, 6)).join(F.broadcast(words), "_word", "left")
+    hit = F.expr(f"bit_get(_bits, CAST(pmod(_h, {1 << BITS}) & 63 AS INT)) = 1")
+    return marked.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_h", "_word", "_bits")

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import materialize
+from siftpool.sources.state import discard, materialize
+
 from ._skew import spread_join
 from ._text import WIDTH, flat, lists, mix, shingle_hashes, shingle_sets, spans_of, word_hashes
 

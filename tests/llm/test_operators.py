@@ -329,6 +329,51 @@ def test_exact_odd_rows(spark, odd):
     assert exact.dedup_exact(odd.limit(0)).count() == 0
 
 
+def test_exact_texts_above_the_limit_are_hashed_in_chunks(spark, documents):
+    """With a limit of 300 bytes most texts take the path of huge ones; nulls and repeated rows too."""
+    repeated = documents.unionByName(documents.filter("doc_id % 5 = 0")).withColumn("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("doc_id")))
+    key = lambda r: (r["id"] is None, r["id"] or 0, bytes(r["sha"]), r["keep_id"] or 0, r["group_size"], r["kept"])
+    assert sorted(map(key, exact.duplicate_groups(repeated, huge=300).collect())) == sorted(map(key, exact.duplicate_groups(repeated).collect()))
+
+
+def test_exact_of_one_text_of_many_megabytes(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts = ["0123456789abcdef" * (1 << 20) + str(i % 2) for i in range(3)]
+    pq.write_table(pa.table({"doc_id": [0, 1, 2], "text": texts}), tmp_path / "t.parquet")
+    got = exact.duplicate_groups(spark.read.parquet(str(tmp_path / "t.parquet")))
+    assert {r["id"]: (r["keep_id"], r["group_size"]) for r in got.collect()} == {0: (2, 2), 1: (1, 1), 2: (2, 2)}
+
+
+def test_exact_rows_alike_in_all(spark):
+    """Two thirds of the rows are one null id with one text, in more copies than one block has."""
+    n = 2 * exact.COPIES + 5
+    df = spark.range(n + 1000).select(F.when(F.col("id") >= n, F.col("id")).alias("doc_id"), F.when(F.col("id") >= n, F.col("id").cast("string")).alias("text"))
+    got = exact.duplicate_groups(df).groupBy("group_size").agg(F.count("*").alias("rows"), F.sum(F.col("kept").cast("int")).alias("kept"))
+    assert {tuple(r) for r in got.collect()} == {(n, n, 1), (1, 1000, 1000)}
+    assert exact.dedup_exact(df).count() == 1001
+
+
+def test_one_key_with_a_third_of_the_rows_goes_to_many_tasks(spark):
+    from siftpool.llm._skew import probable, spread_join
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(old, ("64", "false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        left = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("row"))
+        met = spread_join(left, left.select("k").distinct(), ["k"], F.col("row"))
+        sizes = [r["n"] for r in met.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 30_000 and max(sizes) < 0.04 * 30_000
+        wanted = left.filter("k % 1000 = 1").select(F.xxhash64("k"))
+        marked = probable(left, F.xxhash64("k"), wanted)
+        assert marked.filter("k % 1000 = 1 AND NOT _maybe").count() == 0 and marked.filter("_maybe").count() < 60
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 # Decontamination
 
 
