@@ -10,8 +10,9 @@ that share one of HASHES minima are candidates; the pair is then verified on
 the item's and the whole document's exact shingles. A pair is missed with a
 probability of (1 - 0.19) ** HASHES, 1e-6.
 
-Benchmarks are sent to the executors in parts of at most `part_bytes` of text,
-one pass over the documents for each part, so what is broadcast has a bound.
+Benchmarks are sent to the executors in parts of about `part_bytes` of text and
+`part_items` items at most, one pass over the documents for each part, so what is
+broadcast has a bound: some 800 bytes for an item, and 4 for each byte of text.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from ._text import ALNUM, WIDTH, flat, shingle_hashes, shingle_sets, spans_of, word_hashes
 
 HASHES = 64
-#: Text of benchmark items that one pass takes.
-PART_BYTES = 16 << 20
+#: Text and number of benchmark items that one pass takes.
+PART_BYTES, PART_ITEMS = 8 << 20, 20_000
 _RANDOM = np.random.default_rng(6)
 _A = _RANDOM.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RANDOM.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -41,8 +42,8 @@ def size_class(n: int) -> int:
 class Index:
     """Minima of all items by class and hash, and the items' sets."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray]) -> None:
-        self.ids, self.sets = ids, sets
+    def __init__(self, ids: list[int], copies: list[int], sets: list[np.ndarray]) -> None:
+        self.ids, self.copies, self.sets = ids, copies, sets
         self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.classes: dict[int, list[int]] = {}
         for i, s in enumerate(sets):
@@ -86,6 +87,33 @@ class Index:
         return found
 
 
+    def hits(self, texts: pa.Array, least: float) -> Iterator[tuple[int, int, int]]:
+        """(row, item, shingles found) of each row and item it contains, by rows."""
+        for low, high in spans_of(texts, 1 << 18):
+            values, n = shingle_hashes(*word_hashes(*flat(texts.slice(low, high - low)), ALNUM))
+            end = np.cumsum(n)
+            wholes: dict[int, np.ndarray] = {}
+            for row, i in sorted(self.candidates(values, n)):
+                if row not in wholes:
+                    wholes = {row: np.unique(values[end[row] - n[row] : end[row]])}
+                whole, s = wholes[row], self.sets[i]
+                at = np.searchsorted(whole, s)
+                at[at == len(whole)] = 0
+                found = int((whole[at] == s).sum())
+                if found >= least * len(s) - 1e-9:
+                    yield low + row, i, found
+
+
+def _indexes(items: DataFrame, item_col: str, text_col: str, part_bytes: int, part_items: int) -> Iterator[Index]:
+    """Indexes of the parts of a benchmark, one at a time; equal items are one, with the number of their rows."""
+    kept = items.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("item", "text").agg(F.count(F.lit(1)).alias("n"))
+    size = kept.agg(F.count(F.lit(1)).alias("items"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    parts = max(-(-(size["bytes"] or 0) // part_bytes), -(-size["items"] // part_items), 1)
+    for part in range(parts):
+        rows = kept.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()  # bounded by the two limits
+        yield Index([r["item"] for r in rows], [r["n"] for r in rows], list(shingle_sets(pa.array([r["text"] for r in rows], pa.string()), WIDTH, ALNUM)))
+
+
 def find_contained(
     docs: DataFrame,
     items: DataFrame,
@@ -95,6 +123,7 @@ def find_contained(
     item_text_col: str = "text",
     least: float = 0.8,
     part_bytes: int = PART_BYTES,
+    part_items: int = PART_ITEMS,
 ) -> DataFrame:
     """(id, item, n_found, n_shingles, containment): items of whose distinct shingles a document has the share `least` or more.
 
@@ -104,50 +133,60 @@ def find_contained(
     without words, or of null text, is in no pair. Repeated items and documents
     give a row each. Empty tables give empty results.
     """
-    kept = items.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    total = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-total // part_bytes) or 1
+    from pyspark.sql.pandas.types import to_arrow_type
+
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
+    schema_item = to_arrow_type(items.schema[item_col].dataType)
     out = None
-    for part in range(parts):
-        own = kept.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else kept
-        rows = own.collect()  # part_bytes of text, about
-        sets = list(shingle_sets(pa.array([r["text"] for r in rows], pa.string()), WIDTH, ALNUM))
-        held = docs.sparkSession.sparkContext.broadcast(Index([r["item"] for r in rows], sets))
+    for index in _indexes(items, item_col, item_text_col, part_bytes, part_items):
+        held = docs.sparkSession.sparkContext.broadcast(index)
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = held.value
             for b in batches:
                 ids, columns = [], [[], [], [], []]
-                for low, high in spans_of(b[1], 1 << 18):
-                    values, n = shingle_hashes(*word_hashes(*flat(b[1].slice(low, high - low)), ALNUM))
-                    end = np.cumsum(n)
-                    wholes: dict[int, np.ndarray] = {}
-                    for row, i in sorted(index.candidates(values, n)):
-                        if row not in wholes:
-                            wholes = {row: np.unique(values[end[row] - n[row] : end[row]])}
-                        whole, s = wholes[row], index.sets[i]
-                        at = np.searchsorted(whole, s)
-                        at[at == len(whole)] = 0
-                        hits = int((whole[at] == s).sum())
-                        if hits >= least * len(s) - 1e-9:
-                            ids.append(low + row)
-                            for c, v in zip(columns, (index.ids[i], hits, len(s), hits / len(s)), strict=True):
-                                c.append(v)
+                for row, i, found in index.hits(b[1], least):
+                    s = len(index.sets[i])
+                    for _ in range(index.copies[i]):
+                        ids.append(row)
+                        for c, v in zip(columns, (index.ids[i], found, s, found / s), strict=True):
+                            c.append(v)
                 yield pa.RecordBatch.from_arrays(
                     [b[0].take(pa.array(ids, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, (schema_item, pa.int64(), pa.int64(), pa.float64()), strict=True))],
                     ["id", "item", "n_found", "n_shingles", "containment"],
                 )
 
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        schema_item = to_arrow_type(items.schema[item_col].dataType)
         found = docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(search, f"id {kind}, item {item_kind}, n_found long, n_shingles long, containment double")
         out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:  # noqa: ANN003
-    """docs without the rows whose id holds an item: see find_contained. Rows of null id stay."""
-    hit = find_contained(docs, items, id_col, text_col, **how).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(hit, docs[id_col] == hit["_id"], "left_anti")
+def decontaminate(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    least: float = 0.8,
+    part_bytes: int = PART_BYTES,
+    part_items: int = PART_ITEMS,
+) -> DataFrame:
+    """docs without the rows that hold an item: see find_contained. Rows of null id stay.
+
+    Rows are judged where they are read, so nothing is moved; of rows that share
+    an id, those that hold an item go.
+    """
+    out, kinds = docs, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    at, id_at = docs.columns.index(text_col), docs.columns.index(id_col)
+    for index in _indexes(items, item_col, item_text_col, part_bytes, part_items):
+        held = docs.sparkSession.sparkContext.broadcast(index)
+
+        def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                stays = np.ones(b.num_rows, bool)
+                stays[[row for row, _, _ in held.value.hits(b.column(at), least)]] = False
+                yield b.filter(pa.array(stays | b.column(id_at).is_null().to_numpy(zero_copy_only=False)))
+
+        out = out.mapInArrow(clean, kinds)
+    return out

@@ -7,16 +7,20 @@
    are tested once. In each bucket all members meet the one that most buckets
    hold; links are confirmed on full sets, and components formed.
 3. Members of a bucket that are still in different components meet, block by
-   block, in tasks of bounded size, again on full sets. So every pair that
+   block, in tasks of bounded size. Only blocks of like set sizes meet; inside a
+   task, signatures are compared first and full sets decide. So every pair that
    shares a band is settled: tested, or already connected.
 4. Components come from alternating large-star and small-star rounds.
 
 At a similarity of 0.85, a pair shares no band with a probability of
-(1 - 0.85**ROWS) ** BANDS, which is 3e-7; at 0.8, 6e-5.
+(1 - 0.85**ROWS) ** BANDS, which is 3e-7; at 0.8, 6e-5. A pair that shares one
+is passed over in step 3 if so few of its BANDS * ROWS minima agree that a linked
+pair would have as few with a probability below 1e-7.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +30,12 @@ from pyspark.sql import functions as F
 
 from siftpool.sources.state import discard, materialize
 
-from ._skew import spread_join
+from ._skew import probable, spread_join
 from ._text import WIDTH, flat, lists, mix, shingle_hashes, shingle_sets, spans_of, word_hashes
 
 BANDS, ROWS = 32, 6
-#: Members of a block in step 3.
-BLOCK = 256
+#: Members of a block in step 3, and the shingles they have together at most, but for one member with more.
+BLOCK, VOLUME = 1024, 1 << 19
 LAST = 2**63 - 1
 #: What rows of one class have in common: size and digest of the set.
 SAME = ["size", "s1", "s2"]
@@ -94,10 +98,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def stars(edges: DataFrame) -> DataFrame:
-    """(id, root) for every node of edges (u, v): root is the component's least id. Alternating large-star and small-star."""
+    """(id, root) for every node of edges (u, v): root is the component's least id. Alternating large-star and small-star.
+
+    A root that most edges lead to is no hot key: joins on u are salted.
+    """
 
     def least(of: DataFrame) -> DataFrame:
-        return of.groupBy("u").agg(F.min("v").alias("m"))
+        return of.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
 
     def turned(of: DataFrame) -> DataFrame:
         return of.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
@@ -110,11 +117,13 @@ def stars(edges: DataFrame) -> DataFrame:
     while (after := state(now)) != before:
         before = after
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        roots = least(both).withColumn("m", F.least("u", "m"))
-        large = materialize(turned(both.join(roots, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
-        roots = least(large)
-        small = large.join(roots, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(turned(small.unionByName(roots.select("u", F.col("m").alias("v")))), "small")
+        roots = materialize(least(both).withColumn("m", F.least("u", "m")), "least")
+        met = spread_join(both, roots.drop("n"), ["u"], F.col("v"), counts=roots.select("u", "n"))
+        large = materialize(turned(met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
+        tops = materialize(least(large), "tops")
+        small = spread_join(large, tops.drop("n"), ["u"], F.col("v"), counts=tops.select("u", "n")).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, now = now, materialize(turned(small.unionByName(tops.select("u", F.col("m").alias("v")))), "small")
+        discard(last, roots, large, tops)
     leaves = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return leaves.unionByName(leaves.select(F.col("root").alias("id"), "root").distinct())
 
@@ -127,36 +136,77 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def agreeing(percent: int, error: float = 1e-7) -> int:
+    """The least number of agreeing minima that a pair of this similarity falls below with a probability under `error`."""
+    n, p, total = BANDS * ROWS, percent / 100, 0.0
+    for k in range(n + 1):
+        total += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if total > error:
+            return k
+    return n
+
+
+def _common(rows: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every two sets, by products of 0/1 matrices over the shingles that several sets have."""
+    flat_ = np.concatenate([*rows, *others])
+    vocabulary, code, seen = np.unique(flat_, return_inverse=True, return_counts=True)
+    keep = seen > 1
+    place = np.cumsum(keep) - 1
+    at = np.repeat(np.arange(len(rows) + len(others)), [len(x) for x in (*rows, *others)])
+    at, code = at[keep[code]], place[code[keep[code]]]
+    order = np.argsort(code, kind="stable")
+    at, code = at[order], code[order]
+    out = np.zeros((len(rows), len(others)), np.float32)
+    for low in range(0, int(keep.sum()), 2048):
+        a, b = np.searchsorted(code, (low, low + 2048))
+        part = np.zeros((len(rows) + len(others), 2048), np.float32)
+        part[at[a:b], code[a:b] - low] = 1
+        out += part[: len(rows)] @ part[len(rows) :].T
+    return out
+
+
 def _across(percent: int):  # noqa: ANN202
-    """For a group (left rows: side 0, right rows: side 1), the links between rows of different components."""
+    """For a group (left rows: side 0, right rows: side 1), links that join the components which linked rows are in.
+
+    Rows joined by earlier links of the group need none, so there are fewer links than rows.
+    """
+    enough = agreeing(percent)
 
     def links(table: pa.Table) -> pa.Table:
         ids, roots = table["id"].to_numpy(), table["root"].to_numpy()
         side = table["side"].to_numpy()
         values = table["shingles"].combine_chunks()
-        at = values.offsets.to_numpy()
-        flat_ = values.values.to_numpy()
-        sizes = np.diff(at)
-        vocabulary, code = np.unique(flat_[at[0] : at[-1]], return_inverse=True)
-        row = np.repeat(np.arange(len(ids)), sizes)
+        at, flat_ = values.offsets.to_numpy(), values.values.to_numpy()
+        marks = minima(flat_.view(np.uint64), at[:-1])
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        common = np.zeros((len(left), len(right)), np.float32)
-        place = np.full(len(ids), -1)
-        place[left] = np.arange(len(left))
-        place_r = np.full(len(ids), -1)
-        place_r[right] = np.arange(len(right))
-        for low in range(0, len(vocabulary), 4096):  # the product of 0/1 matrices, by columns
-            inside = (code >= low) & (code < low + 4096)
-            r, c = row[inside], code[inside] - low
-            one = np.zeros((len(left), 4096), np.float32)
-            two = np.zeros((len(right), 4096), np.float32)
-            own = place[r] >= 0
-            one[place[r[own]], c[own]] = 1
-            two[place_r[r[~own]], c[~own]] = 1
-            common += one @ two.T
-        union = sizes[left][:, None] + sizes[right][None, :] - common
-        i, j = np.nonzero((100 * common >= percent * union) & (roots[left][:, None] != roots[right][None, :]))
-        return pa.table({"u": pa.array(ids[left[i]], pa.int64()), "v": pa.array(ids[right[j]], pa.int64())})
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        found = []
+        if len(left) and len(right):
+            ours, theirs = np.ascontiguousarray(marks[left].T), np.ascontiguousarray(marks[right].T)
+            agree = np.zeros((len(left), len(right)), np.uint8)
+            for one, two in zip(ours, theirs, strict=True):
+                agree += one[:, None] == two[None, :]
+            near = (agree >= enough) & (roots[left][:, None] != roots[right][None, :])
+            i, j = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            if len(i):
+                sets = [flat_[at[k] : at[k + 1]] for k in range(len(ids))]
+                common = _common([sets[k] for k in left[i]], [sets[k] for k in right[j]])
+                sizes = np.diff(at)
+                union = sizes[left[i]][:, None] + sizes[right[j]][None, :] - common
+                for a, b in zip(*np.nonzero((100 * common >= percent * union) & near[np.ix_(i, j)]), strict=True):
+                    u, v = left[i[a]], right[j[b]]
+                    x, y = find(roots[u]), find(roots[v])
+                    if x != y:
+                        parent[x] = y
+                        found.append((ids[u], ids[v]))
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
     return links
 
@@ -183,7 +233,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tu
 
     held = members.groupBy("id").agg(F.count(F.lit(1)).alias("held"))
     candidates = materialize(classes.select("id", "rows", F.col("first.id").alias("_id"), F.col("first.t").alias("t")).join(held.select("id"), "id"), "candidates")
-    texts = rows.select(F.coalesce("id", F.lit(LAST)).alias("_id"), "t", "text")  # a class's first text is that of an id and a hash
+    where = F.xxhash64("_id", "t")  # a class's first text is that of an id and a hash
+    texts = probable(rows.select(F.coalesce("id", F.lit(LAST)).alias("_id"), "t", "text").filter("t IS NOT NULL"), where, candidates.select(where)).filter("_maybe")
     texts = spread_join(texts, candidates.drop("rows"), ["_id", "t"], F.monotonically_increasing_id(), counts=candidates.select("_id", "t", F.col("rows").alias("n")))
     sets = materialize(texts.select("id", "text").mapInArrow(_sets, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
 
@@ -197,24 +248,57 @@ def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tu
     apart = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("m > 2 AND r0 != r1").select("key", "m")
     apart = materialize(apart.join(hubs, "key").join(roots.select(F.col("id").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").select("key", "m", F.coalesce("hub_root", "hub").alias("hub_root")), "apart")
     if not apart.isEmpty():
-        # All pairs with the hub are settled, so one side is what lies outside the hub's component.
-        rest = spread_join(placed, apart, ["key"], F.col("id"), counts=apart.select("key", F.col("m").alias("n")))
-        rest = rest.withColumn("outside", F.col("root") != F.col("hub_root"))
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-        ahead = F.explode(F.sequence(F.lit(0), blocks - 1))
-        left = rest.filter("outside").select("key", "id", "root", F.lit(0).alias("side"), block.alias("i"), ahead.alias("j"))
-        right = rest.select("key", "id", "root", F.lit(1).alias("side"), ahead.alias("i"), block.alias("j"))
-        met = left.unionByName(right)
+        met = _meetings(placed, apart, classes, percent)
         met = spread_join(met, sets, ["id"], F.col("key"))
-        found = met.groupBy("key", "i", "j").applyInArrow(_across(percent), "u long, v long").distinct()
-        links = links.unionByName(materialize(found, "late_links"))
-        roots = materialize(stars(links), "roots_all")
+        late = materialize(met.groupBy("key", "c1", "i", "c2", "j").applyInArrow(_across(percent), "u long, v long").distinct(), "late_links")
+        roots = _joined(roots, late)
+    discard(members, candidates, sets, links, placed, apart)
 
-    rooted = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select(*SAME, F.col("rows").alias("n"), "row", "least", "root")
+    rooted = materialize(rooted, "rooted")
     stands = F.min(F.struct(*SAME, "row"))["row"]
-    lead = rooted.groupBy("root").agg(F.min("least").alias("component"), stands.alias("lead"))
-    return signed, materialize(rooted.select(*SAME, F.col("rows").alias("n"), "root").join(lead, "root").drop("root"), "components")
+    lead = materialize(rooted.groupBy("root").agg(F.min("least").alias("component"), stands.alias("lead"), F.count(F.lit(1)).alias("n")), "leads")
+    found = spread_join(rooted.select(*SAME, "n", "root"), lead.drop("n"), ["root"], F.col("s1"), counts=lead.select("root", "n")).drop("root")
+    found = materialize(found, "components")
+    discard(rooted, lead, classes, buckets, roots)
+    return signed, found
+
+
+def _meetings(placed: DataFrame, apart: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(key, c1, i, c2, j, side, id, root): which rows of a bucket meet in which task.
+
+    All pairs with the hub are settled, so one side is what lies outside the
+    hub's component. Members of a bucket are parted by their sets' sizes so that
+    linked ones lie in one class or in two that follow each other, and each class
+    into blocks of BLOCK members or VOLUME shingles; pairs of blocks meet once.
+    """
+    step = math.log(100 / percent) + 1e-9
+    rest = spread_join(placed, apart, ["key"], F.col("id"), counts=apart.select("key", F.col("m").alias("n")))
+    rest = rest.join(classes.select("id", "size"), "id").withColumn("c", F.floor(F.log(F.col("size")) / F.lit(step)))
+    rest = materialize(rest.select("key", "id", "root", "size", "c", (F.col("root") != F.col("hub_root")).alias("outside")), "rest")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / VOLUME)).cast("int")
+    parts = materialize(rest.groupBy("key", "c").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("n")), "parts")
+    own = spread_join(rest, parts.drop("n"), ["key", "c"], F.col("id"), counts=parts.select("key", "c", "n"))
+    own = own.withColumn("at", F.pmod(F.xxhash64("id"), "blocks").cast("int")).drop("blocks")
+    around = own.withColumn("other", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
+    sizes = parts.select("key", "n", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("other")).groupBy("key", "other").agg(F.sum("n").alias("n"))
+    around = spread_join(around, parts.select("key", F.col("c").alias("other"), "blocks"), ["key", "other"], F.col("id"), counts=sizes)
+    around = around.withColumn("there", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = around.filter("outside").select("key", F.col("c").alias("c1"), F.col("at").alias("i"), F.col("other").alias("c2"), F.col("there").alias("j"), F.lit(0).alias("side"), "id", "root")
+    once = ~F.col("outside") | (F.struct("other", "there") <= F.struct("c", "at"))
+    right = around.filter(once).select("key", F.col("other").alias("c1"), F.col("there").alias("i"), F.col("c").alias("c2"), F.col("at").alias("j"), F.lit(1).alias("side"), "id", "root")
+    out = materialize(left.unionByName(right), "met")
+    discard(rest, parts)
+    return out
+
+
+def _joined(roots: DataFrame, late: DataFrame) -> DataFrame:
+    """roots (id, root) after further links: their components are found among the roots alone."""
+    ends = late.join(roots.select(F.col("id").alias("u"), F.col("root").alias("a")), "u", "left").join(roots.select(F.col("id").alias("v"), F.col("root").alias("b")), "v", "left")
+    above = materialize(stars(ends.select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v")).filter("u != v")), "above")
+    known = spread_join(roots, above.select(F.col("id").alias("root"), F.col("root").alias("top")), ["root"], F.col("id"), "left")
+    alone = above.join(roots.select("id"), "id", "left_anti")
+    return materialize(known.select("id", F.coalesce("top", "root").alias("root")).unionByName(alone), "roots_all")
 
 
 def _placed(signed: DataFrame, found: DataFrame) -> DataFrame:
@@ -246,38 +330,43 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns. Rows of null id that resemble nothing all stay.
     """
     signed, found = _components(docs, id_col, text_col, percent)
-    kept = _placed(signed, found).filter("kept AND id IS NOT NULL").select(F.col("id").alias("_id"))
-    keyed = docs.withColumn("_id", F.col(id_col).cast("long"))
-    shared = signed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL").select(F.col("id").alias("_id"))
+    gone = materialize(_placed(signed, found).filter("NOT kept AND id IS NOT NULL").select("id").distinct(), "gone")
+    shared = signed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL")
     shared = materialize(shared, "shared")
+    row = F.struct(*docs.columns).alias("row")
+    keyed = docs.select(row, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # Rows whose id is surely none of these stay where they are.
+    odd_ids = shared.filter("id IS NOT NULL").select("id")
+    marked = probable(keyed, F.xxhash64(F.coalesce("id", F.lit(LAST))), gone.unionByName(odd_ids).select(F.xxhash64("id")))
+    sure = marked.filter("NOT _maybe AND id IS NOT NULL").select("row")
+    maybe = marked.filter("_maybe AND id IS NOT NULL").select("row", "id", "text")
     if shared.isEmpty():
-        return keyed.join(kept, "_id", "left_semi").select(*docs.columns)
-    names = keyed.columns
-    at = names.index(text_col)
+        return sure.unionByName(maybe.join(gone, "id", "left_anti").select("row")).select("row.*")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = np.array([_digest(x) for x in shingle_sets(b.column(at))], np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, own.T.copy())], [*names, "_size", "_s1", "_s2"])
+            own = np.array([_digest(x) for x in shingle_sets(b.column(2))], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *map(pa.array, own.T.copy())], ["row", "id", *SAME])
 
     # The few rows without an id of their own are placed by their sets.
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
-    odd = keyed.filter("_id IS NULL").unionByName(keyed.join(shared, "_id", "left_semi").select(*names))
-    odd = odd.mapInArrow(digests, f"{kinds}, _size long, _s1 long, _s2 long")
-    where = ["_size", "_s1", "_s2"]
-    classes = found.toDF(*(where[SAME.index(c)] if c in SAME else c if c == "n" else f"_{c}" for c in found.columns))
-    met = spread_join(odd.filter("_size > 0"), classes.drop("n"), where, F.xxhash64(*docs.columns), counts=classes.select(*where, "n"))
-    row = F.struct(*docs.columns).alias("_row")
-    empty = odd.filter("_size = 0")
-    own = met.filter("_id = _component").select("_id", row).unionByName(empty.filter("_id IS NOT NULL").select("_id", row))
-    alone = met.filter("_component IS NULL").select("_lead", row)
+    counts = shared.filter("id IS NOT NULL").select("id", "n")
+    of_shared = spread_join(maybe, odd_ids, ["id"], F.xxhash64("text"), counts=counts)
+    odd = keyed.filter("id IS NULL").unionByName(of_shared.select("row", "id", "text"))
+    kind = keyed.select("row").schema["row"].dataType.simpleString()
+    odd = materialize(odd.mapInArrow(digests, f"row {kind}, id long, size long, s1 long, s2 long"), "odd")
+    met = spread_join(odd.filter("size > 0"), found.drop("n"), SAME, F.xxhash64("row"), counts=found.select(*SAME, "n"))
+    empty = odd.filter("size = 0")
+    own = met.filter("id = component").select("id", "row").unionByName(empty.filter("id IS NOT NULL").select("id", "row"))
+    alone = met.filter("component IS NULL").select("lead", "row")
+    single = maybe.join(gone.unionByName(odd_ids), "id", "left_anti").select("row")
     parts = [
-        keyed.join(kept.join(shared, "_id", "left_anti"), "_id", "left_semi").select(*docs.columns),
-        own.groupBy("_id").agg(F.min("_row").alias("_row")).select("_row.*"),
-        alone.groupBy("_lead").agg(F.min("_row").alias("_row")).select("_row.*"),
-        empty.filter("_id IS NULL").select(*docs.columns),
+        sure,
+        single,
+        own.groupBy("id").agg(F.min("row").alias("row")).select("row"),
+        alone.groupBy("lead").agg(F.min("row").alias("row")).select("row"),
+        empty.filter("id IS NULL").select("row"),
     ]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return out.select("row.*")

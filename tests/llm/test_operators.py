@@ -407,6 +407,17 @@ def test_decontamination_finds_items_at_any_place(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, i) for i, _ in items}
 
 
+def test_decontamination_in_parts_of_few_items(spark, documents):
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    doubled = items.unionByName(items.limit(3))
+    whole = decontam.find_contained(documents, doubled)
+    parts = decontam.find_contained(documents, doubled, part_items=15)
+    assert Counter(tuple(r) for r in parts.collect()) == Counter(tuple(r) for r in whole.collect())
+    hit = {r["doc_id"] for r in whole.collect()}
+    left = {r["doc_id"] for r in decontam.decontaminate(documents, doubled, part_items=15).collect()}
+    assert hit and left == {r["doc_id"] for r in documents.collect()} - hit
+
+
 def test_decontamination_odd_rows(spark, odd):
     items = spark.createDataFrame([(1, None), (None, "alpha beta gamma delta epsilon"), (2, "one two"), (2, "one two"), (3, "")], "item_id long, text string")
     got = decontam.find_contained(odd, items).collect()
@@ -585,6 +596,38 @@ def test_near_groups_of_a_large_family(spark):
     assert got == brute_near(texts, 85)
 
 
+def test_near_groups_of_a_bucket_of_pairs_below_the_limit(spark):
+    """Copies with so many words changed that most pairs share bands but few link, of three sizes; blocks of 32."""
+    import random
+
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(400)]
+    texts = {}
+    for i in range(240):
+        words = base[: 400 if i % 2 else 360] if i % 10 else base[:300]
+        words = list(words)
+        for _ in range(rng.choice([2, 4, 5, 5, 6])):
+            words[rng.randrange(len(words))] = f"m{rng.randrange(10_000)}"
+        texts[i] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    old = neardup.BLOCK
+    neardup.BLOCK = 32
+    try:
+        got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_groups(df, percent=93).collect()}
+    finally:
+        neardup.BLOCK = old
+    assert got == brute_near(texts, 93)
+
+
+def test_common_sizes_and_agreement():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 6000, n).astype(np.uint64)) for n in (1, 30, 4000, 500, 4500)]
+    assert (neardup._common(rows[:2], rows[2:]) == [[len(np.intersect1d(a, b)) for b in rows[2:]] for a in rows[:2]]).all()
+    assert neardup.agreeing(100) == neardup.BANDS * neardup.ROWS and 125 < neardup.agreeing(85) < 140
+
+
 def test_star_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r["id"]: r["root"] for r in neardup.stars(spark.createDataFrame(edges, "u long, v long")).collect()}
