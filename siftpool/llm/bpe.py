@@ -32,6 +32,62 @@ TOGETHER = 1_000_000
 _NONE = np.int64(2**62)
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(field number, value) of a message in the protocol buffers' wire format."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        tag = number()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, number()
+            continue
+        size = number() if kind == 2 else 8 if kind == 1 else 4
+        yield tag >> 3, data[at : at + size]
+        at += size
+
+
+def check(proto: bytes) -> None:
+    """ValueError unless a serialised model is of the kind that is encoded here.
+
+    That is BPE, with byte fallback, without a normalisation table, with a space
+    put in front, white space kept and spaces as U+2581, and no pieces of the user's.
+    """
+    # Numbers of the fields, and what they are where a file leaves them out.
+    trainer, normalizer = {3: 1, 35: 0, 24: 0}, {2: b"", 3: 1, 4: 1, 5: 1}
+    kinds = set()
+    for field, value in _fields(proto):
+        if field == 1:
+            kinds.add(dict(_fields(value)).get(3, 1))
+        elif field == 2:
+            trainer |= dict(_fields(value))
+        elif field == 3:
+            normalizer |= dict(_fields(value))
+    wrong = {
+        "it is no BPE model": trainer[3] != 2,
+        "it has no byte fallback": not trainer[35],
+        "it puts the space mark behind words": bool(trainer[24]),
+        "it has a normalisation table": bool(normalizer[2]),
+        "it puts no space in front": not normalizer[3],
+        "it removes white space": bool(normalizer[4]),
+        "it leaves spaces as they are": not normalizer[5],
+        "it has pieces defined by its user": 4 in kinds,
+    }
+    if any(wrong.values()):
+        raise ValueError("the model cannot be used: " + ", ".join(k for k, v in wrong.items() if v))
+
+
 class Model:
     """Tables from a SentencePiece BPE model file with byte fallback and identity normalisation."""
 
@@ -39,6 +95,7 @@ class Model:
         import sentencepiece
 
         source = sentencepiece.SentencePieceProcessor(model_file=path)
+        check(source.serialized_model_proto())
         n = source.vocab_size()
         self.end = source.eos_id()
         pieces = [source.id_to_piece(i) for i in range(n)]

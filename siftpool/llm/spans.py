@@ -21,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftpool.sources.state import discard, materialize
+from siftpool.sources.state import materialize
 
-from ._skew import spread_join
+from ._skew import probable, spread_join
 from ._text import mix
 
 UNIT, RUN, LEAST = 12, 3, 12
@@ -144,21 +144,23 @@ def dedup_spans(
     Rows that share an id are parts of one document and lose only what another
     document has earlier, or what repeats inside the row. Wholly equal documents
     other than the first lose all their runs. Texts with fewer than `run` units
-    or `least` words are never touched. Empty tables give empty results; columns
+    or `least` words are never touched. Other columns, a count of characters for
+    one, stay as they were. Empty tables give empty results; columns
     of docs named like the three new ones are replaced.
     """
     how = {"unit": unit, "run": run, "least": least}
     docs = docs.drop("n_units", "n_removed", "first_ids")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(ids: list[int], values: list[np.ndarray]) -> pa.RecordBatch:
+        def batch(ids: list[tuple[int, int]], values: list[np.ndarray]) -> pa.RecordBatch:
             every = np.concatenate([*values, np.zeros(0, np.uint64)])
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), [len(x) for x in values])), pa.array(every.view(np.int64))], ["_id", "_h"])
+            rows = np.repeat(np.array(ids, np.int64).reshape(-1, 2), [len(x) for x in values], axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1])), pa.array(every.view(np.int64))], ["_id", "_t", "_h"])
 
         for b in batches:
             ids, values, held = [], [], 0
-            for doc, text in zip(b[0].to_pylist(), b[1], strict=True):
-                ids.append(doc)
+            for doc, own, text in zip(b[0].to_pylist(), b[1].to_pylist(), b[2], strict=True):
+                ids.append((doc, own))
                 values.append(np.unique(runs(units(text.as_py() or "", unit), run, least)[2]))
                 held += len(values[-1])
                 if held > AT_ONCE:
@@ -166,14 +168,22 @@ def dedup_spans(
                     ids, values, held = [], [], 0
             yield batch(ids, values)
 
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    spans = materialize(docs.select(key.alias("_id"), F.col(text_col)).mapInArrow(hashes, "_id long, _h long"), "runs")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id")
+    own = F.xxhash64(text_col).alias("_t")  # tells rows of one id apart, null ids above all
+    spans = materialize(docs.select(key, own, F.col(text_col)).mapInArrow(hashes, "_id long, _t long, _h long"), "runs")
     seen = spans.groupBy("_h").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("_first")).filter("n > 1")
     seen = materialize(seen, "repeated")
-    later = spread_join(spans, seen.drop("n"), ["_h"], F.col("_id"), counts=seen.select("_h", "n")).filter("_id > _first")
-    mine = later.groupBy("_id").agg(F.collect_set("_h").alias("_hs"), F.collect_set("_first").alias("first_ids"))
-
-    kept = docs.withColumn("_id", key).join(mine, "_id", "left").drop("_id")
+    later = spread_join(spans, seen.drop("n"), ["_h"], F.xxhash64("_id", "_t"), counts=seen.select("_h", "n")).filter("_id > _first")
+    mine = later.groupBy("_id", "_t").agg(F.collect_set("_h").alias("_hs"), F.collect_set("_first").alias("first_ids"))
+    mine = materialize(mine, "later")
+
+    # Rows without a run that another document has before them are not moved.
+    held = docs.select(F.struct(*docs.columns).alias("_row"), key, own)
+    marked = probable(held, F.xxhash64("_id", "_t"), mine.select(F.xxhash64("_id", "_t")))
+    shared = marked.filter("_maybe").drop("_maybe")
+    met = spread_join(shared, mine, ["_id", "_t"], F.monotonically_increasing_id(), "left").select("_row", "_hs", "first_ids")
+    none = [F.lit(None).cast("array<long>").alias(c) for c in ("_hs", "first_ids")]
+    kept = met.unionByName(marked.filter("NOT _maybe").select("_row", *none)).select("_row.*", F.col("_hs"), F.col("first_ids"))
     names = docs.columns
     at = names.index(text_col)
 
@@ -192,4 +202,4 @@ def dedup_spans(
             yield pa.RecordBatch.from_arrays(columns, [*names, "n_units", "n_removed", "first_ids"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return kept.select(*names, "_hs", "first_ids").mapInArrow(rewrite, f"{kinds}, n_units int, n_removed int, first_ids array<long>")
+    return kept.mapInArrow(rewrite, f"{kinds}, n_units int, n_removed int, first_ids array<long>")
