@@ -64,6 +64,41 @@ def test_sharding_growth_moves_little(spark):
     assert sum(a[k] != b[k] for k in a) < 4000 * 0.4
 
 
+def test_sharding_against_a_walk_of_the_ring(spark):
+    """Every row's shard, by walking the ring row by row: nearer shards take rows before farther ones."""
+    import bisect
+
+    df = spark.range(1500).select((F.col("id") % 700).alias("k"), F.col("id").alias("d"))
+    points, owners = sharding.ring(5, 16)
+    spot = F.shiftrightunsigned(F.xxhash64("k"), 12).cast("double") / float(2**52)
+    rows = df.select("k", "d", spot.alias("s"), F.pmod(F.xxhash64(F.lit(1), F.col("k")), F.lit(sharding.LANES)).alias("l")).collect()
+    orders, room = sharding.preferences(owners), sharding.capacities(1500, 5, 1.0)
+    arcs = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["l"], r["s"], r["k"], r["d"])):
+        arcs[bisect.bisect_right(points, r["s"])].append(r["d"])
+    expected = {}
+    for step in range(5):
+        for arc in sorted(arcs):
+            shard = orders[arc][step]
+            while arcs[arc] and room[shard]:
+                expected[arcs[arc].pop(0)] = shard
+                room[shard] -= 1
+    got = {r["d"]: r["shard"] for r in sharding.assign_shards(df, "k", 5, vnodes=16, load=1.0, digest="d").collect()}
+    assert got == expected
+    apart = defaultdict(set)
+    for d, shard in got.items():
+        apart[d % 700].add(shard)
+    assert sum(len(v) > 1 for v in apart.values()) < 16
+
+
+def test_sharding_does_not_depend_on_partitions(spark):
+    """A third of the rows alike in all, a third of one key, the others of their own."""
+    i = F.col("id")
+    df = spark.range(6000).select(F.when(i % 3 == 0, None).when(i % 3 == 1, 7).otherwise(i).alias("k"), F.when(i % 3 > 0, i).alias("d"))
+    got = [Counter(tuple(r) for r in sharding.assign_shards(df.repartition(n, "d"), "k", 8, load=1.0, digest="d").collect()) for n in (2, 5)]
+    assert got[0] == got[1]
+
+
 def test_sharding_odd_rows(spark, odd):
     got = sharding.assign_shards(odd.withColumn("slot", F.lit("old")), "doc_id", 3, load=1.0, digest="text")
     assert got.count() == odd.count() and dict(got.dtypes)["slot"] == "bigint"
@@ -119,6 +154,15 @@ def test_spans_odd_rows(spark, odd):
     assert spans.dedup_spans(odd.limit(0)).count() == 0
 
 
+def test_spans_of_rows_without_ids(spark):
+    """Rows of null id count as the last ones; each loses only what its own text has from others."""
+    one, two = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    df = spark.createDataFrame([(1, one), *[(None, f"x{i} {one}") for i in range(3)], *[(None, f"y{i} {two}") for i in range(3)], (None, None)], "doc_id long, text string")
+    rows = spans.dedup_spans(df).collect()
+    assert len(rows) == 8 and sum(r["n_removed"] > 0 for r in rows) == 3
+    assert all((r["n_removed"] > 0) == (r["text"] or "").startswith("x") and (r["n_removed"] == 0 or r["first_ids"] == [1]) for r in rows)
+
+
 def test_spans_find_a_passage_without_sentences_at_any_word():
     passage = " ".join(f"p{i * 7919 % 1000}" for i in range(60))
     for k in range(12):
@@ -189,6 +233,31 @@ def test_secret_structures():
     assert any(secrets.KINDS[k] == "ssh" for _, k, _ in secrets.scan(base64.b64encode(ssh).decode()))
 
 
+def test_secret_structures_without_a_frame():
+    kinds = lambda text: {secrets.KINDS[k]: (s, e) for s, k, e in secrets.scan(text) if k > 2}
+    number = der(2, b"\x01" * 40)
+    coded = base64.b64encode(der(0x30, der(2, b"\0"), *[number] * 8)).decode()
+    lines = [coded[i : i + 64] for i in range(0, len(coded), 64)]
+    for end in ("\n", "\r\n", "\n    ", "\\n"):
+        text = "key " + end.join(lines) + end + "Next line of words"
+        assert kinds(text) == {"der": (4, 4 + len(end.join(lines)))}, end
+    assert not kinds(end.join(lines[:-1]) + " Next")
+    pem = f"-----BEGIN PRIVATE KEY-----\n{coded}\n-----END PRIVATE KEY-----\n"
+    twice = base64.b64encode(pem.encode()).decode()
+    assert "pembase64" in kinds(f"data: {twice}") and kinds(f"data: {twice}")["pembase64"] == (6, 6 + len(twice))
+    code = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    for head in (b'{ "alg": "RS256" }', b'{\n "typ":"JWT", "alg":"ES256"}', b' {"alg":"EdDSA"}'):
+        for payload in ("", code(b"\x78\x9c\x01plain"), code(b'{"a":1}')):
+            token = f"{code(head)}.{payload}.c2ln"
+            assert kinds(f"www.example.com {token}") == {"jwt": (16, 16 + len(token))}
+            assert kinds(f"e0123456789012.{token}") == {"jwt": (15, 15 + len(token))}
+    assert not kinds("e0123456789abcdef.x.y www.example.com.org")
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    many = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (20).to_bytes(4, "big") + field(b"pub" * 9) * 20 + field(b"key" * 9)
+    assert "ssh" in kinds(base64.b64encode(many).decode())
+    assert not kinds(base64.b64encode(many[:-30]).decode())
+
+
 def test_secret_letters_are_ascii_and_places_code_points():
     assert secrets.scan("ſecret=abcdef toKen=abcdef") == []
     assert secrets.scan("🤗 PassWord = 'abc.def'") == [(2, 0, 21)]
@@ -461,6 +530,30 @@ def test_tokens_of_odd_texts():
         assert bpe.decode(own.model, ids) == source.decode(ids)
 
 
+def test_tokens_refuse_other_models():
+    def field(number, value):
+        size = len(value)
+        return bytes([number << 3 | 2, *([size & 127 | 128, size >> 7] if size > 127 else [size])]) + value
+
+    kind, bytes_ = lambda n: bytes([3 << 3, n]), bytes([0x98, 0x02, 1])
+    plain = bytes([3 << 3, 1, 4 << 3, 0, 5 << 3, 1])
+    good = field(2, kind(2) + bytes_) + field(3, plain)
+    bpe.check(good)
+    for bad in (field(2, kind(1) + bytes_) + field(3, plain), field(2, kind(2)) + field(3, plain), good + field(3, plain + field(2, b"table")), good + field(3, bytes([4 << 3, 1])), good + field(1, kind(4))):
+        with pytest.raises(ValueError):
+            bpe.check(bad)
+
+
+def test_tokens_keep_common_words(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 30)
+    monkeypatch.setattr(bpe, "TOGETHER", 60)
+    texts = [" ".join(["common", "words", *(f"w{i}x{j}" for j in range(8))]) for i in range(40)]
+    own, fresh = bpe.Encoder(queries.model_path()), bpe.Encoder(queries.model_path())
+    got = list(own.digests(texts))
+    assert len(own.numbers) < 60 and [g[0] for g in got] == [len(fresh.ids(t)) for t in texts]
+    assert [g[2] for g in got] == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+
+
 def test_tokens_odd_rows(spark, odd):
     rows = bpe.token_digests(odd, queries.model_path()).collect()
     assert len(rows) == odd.count() and {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {1}
@@ -492,6 +585,68 @@ def test_language_pieces_count_every_gram_once():
     assert (total == np.bincount(langid._buckets(np.frombuffer(low.encode("utf-32-le"), np.uint32).astype(np.uint64), len(low)), minlength=langid.BUCKETS)).all()
 
 
+def test_language_all_are_learned(spark, monkeypatch):
+    """300 languages in blocks of 64, one of them in three of 3300 rows; letters decide about texts."""
+    monkeypatch.setattr(langid, "BLOCK", 64)
+    word = lambda i: "".join(chr(0x4E00 + (i * 31 + k * 7) % 20000) for k in range(4))
+    rows = [(i * 100 + j, f"{word(i)} {word(i)}", f"l{i:03d}") for i in range(300) for j in range(3 if i == 7 else 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = langid.train(docs, F.lit(True), max_rows=1500)
+    assert len(models) == 5 and sum(len(m.languages) for m in models) == 300
+    got = langid.predict(docs, models).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.995 * len(got) and all(0 < r["score"] <= 1 for r in got)
+    signs = spark.createDataFrame([("½ ² ① ৴ 12",), ("३",), ("é",)], "text string")
+    assert [r["lang_pred"] != "und" for r in langid.predict(signs, models).collect()] == [False, False, True]
+    assert langid.level([5, 100, 1], 20) == 14 and langid.level([3, 3], 100) == 3 and langid.level([9, 9], 1) == 1
+
+
+def test_language_against_brute_force(spark, documents):
+    """Counts, posteriors and scores by plain dictionaries, in one block and in two."""
+    import math
+
+    def grams(text):
+        low = text.lower()
+        codes = [ord(c) for c in low]
+        out = Counter()
+        for k in range(langid.ORDER):
+            for i in range(len(codes) - k):
+                value = 0
+                for c in codes[i : i + k + 1]:
+                    value = (value * 0x100000001B3 + c + 1) % 2**64
+                value = (value ^ value >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                value = (value ^ value >> 27) * 0x94D049BB133111EB % 2**64
+                out[(value ^ value >> 31) % langid.BUCKETS] += 1
+        return out
+
+    docs = documents.withColumn("text", F.substring("text", 1, 400)).filter("doc_id < 80")
+    rows = docs.collect()
+    known = [r for r in rows if r["lang"] and r["text"] is not None and r["doc_id"] % 2]
+    counts, number = defaultdict(Counter), Counter()
+    for r in known:
+        counts[r["lang"]] += grams(r["text"])
+        number[r["lang"]] += 1
+    expected = {}
+    for r in rows:
+        if not any(map(str.isalpha, r["text"] or "")):
+            expected[r["doc_id"]] = ("und", 0.0)
+            continue
+        own, logs = grams(r["text"]), {}
+        for lang, c in sorted(counts.items()):
+            total = sum(c.values()) + 0.5 * langid.BUCKETS
+            logs[lang] = math.log(number[lang] / len(known)) + sum(n * math.log((c[g] + 0.5) / total) for g, n in own.items())
+        best = max(logs, key=logs.get)
+        expected[r["doc_id"]] = (best, 1 / sum(math.exp((x - logs[best]) / math.sqrt(sum(own.values()))) for x in logs.values()))
+    old = langid.BLOCK
+    try:
+        for langid.BLOCK in (256, 2):
+            models = langid.train(docs, F.col("doc_id") % 2 == 1)
+            for r in langid.predict(docs, models).collect():
+                lang, score = expected[r["doc_id"]]
+                assert r["lang_pred"] == lang and math.isclose(r["score"], score, rel_tol=1e-3, abs_tol=1e-6)
+    finally:
+        langid.BLOCK = old
+
+
 def test_language_odd_rows(spark, odd):
     model = langid.train(odd.withColumn("lang", F.col("lang")), F.lit(True))
     got = langid.predict(odd, model)
