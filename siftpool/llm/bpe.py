@@ -124,6 +124,8 @@ class Model:
         self.decimal = [str(i) for i in range(n)]
         self.pieces = n
         self.surface = [b"" if special[i] else bytes([int(pieces[i][3:5], 16)]) if source.is_byte(i) else pieces[i].replace(SPACE, " ").encode() for i in range(n)]
+        self.digits = np.array([len(x) + 1 for x in self.decimal], np.int64)  # with the space behind
+        self.sizes = np.array([len(x) for x in self.surface], np.int64)
         self.unknown = source.unk_id()
         self.is_byte = np.array([source.is_byte(i) for i in range(n)])
 
@@ -200,9 +202,8 @@ def _merged(model: Model, symbols: np.ndarray, word: np.ndarray, rank: np.ndarra
     return new, words, ranks, makes, np.minimum(before, ranks[place])
 
 
-def encode_words(model: Model, words: list[str]) -> list[list[int]]:
-    """Ids of each word; words are as _WORDS cuts them."""
-    out: list[list[int]] = []
+def encode_flat(model: Model, words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first word, ids, ends) for parts of the words, which are as _WORDS cuts them: ids of all words of the part, and where each word's end."""
     low = 0
     while low < len(words):
         high, size = low, 0
@@ -223,10 +224,16 @@ def encode_words(model: Model, words: list[str]) -> list[list[int]]:
             bytes_ = np.repeat(np.isin(np.arange(len(symbols)), odd, assume_unique=True), times)
             symbols, word = np.repeat(symbols, times), np.repeat(word, times)
             symbols[bytes_] = model.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-        ids = symbols.tolist()
-        ends = np.searchsorted(word, np.arange(len(part) + 1)).tolist()
-        out += [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        yield low, symbols, np.searchsorted(word, np.arange(1, len(part) + 1))
         low = high
+
+
+def encode_words(model: Model, words: list[str]) -> list[list[int]]:
+    """Ids of each word."""
+    out: list[list[int]] = []
+    for _, ids, ends in encode_flat(model, words):
+        flat, at = ids.tolist(), [0, *ends.tolist()]
+        out += [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
     return out
 
 
@@ -263,23 +270,30 @@ def decode(model: Model, ids: list[int]) -> str:
 
 
 class Encoder:
-    """Encodes texts; keeps the words of earlier batches."""
+    """Encodes texts; keeps the words of earlier batches that came more than once."""
 
     def __init__(self, path: str) -> None:
         self.model = load(path)
         self.numbers: dict[str, str] = {}  # a word's decimal ids
         self.decoded: dict[str, str] = {}
+        self.common: set[str] = set()
 
     def learn(self, words: set[str]) -> None:
-        if len(self.numbers) > CACHE:  # words wanted now are encoded again
-            self.numbers.clear()
-            self.decoded.clear()
+        self.common |= words & self.numbers.keys()
+        if len(self.numbers) > CACHE:  # words that have come once are encoded again if they are wanted
+            kept = self.common if len(self.common) <= CACHE // 2 else set()
+            self.numbers, self.decoded, self.common = {w: self.numbers[w] for w in kept}, {w: self.decoded[w] for w in kept}, set()
         new = list(words - self.numbers.keys())
         surface, decimal = self.model.surface, self.model.decimal
-        for w, ids in zip(new, encode_words(self.model, new), strict=True):
-            self.numbers[w] = " ".join([decimal[i] for i in ids])
-            # Words' bytes are valid text, as fallback bytes come from whole characters.
-            self.decoded[w] = b"".join([surface[i] for i in ids]).decode()
+        for low, ids, ends in encode_flat(self.model, new):
+            # The strings of all words stand in one; each word's is cut from it.
+            flat = ids.tolist()
+            number, text = " ".join([decimal[i] for i in flat]), b"".join([surface[i] for i in flat])
+            digits, sizes = (np.concatenate([[0], np.cumsum(table[ids])])[np.concatenate([[0], ends])].tolist() for table in (self.model.digits, self.model.sizes))
+            for k, w in enumerate(new[low : low + len(ends)]):
+                self.numbers[w] = number[digits[k] : digits[k + 1] - 1]
+                # Words' bytes are valid text, as fallback bytes come from whole characters.
+                self.decoded[w] = text[sizes[k] : sizes[k + 1]].decode()
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """(ids, SHA-256 of the decimal ids joined by spaces, SHA-256 of the decoded text) of each text."""
