@@ -2,26 +2,36 @@
 
 The text view sees characters, character pairs and word and line statistics of
 the whole text; the metadata view sees the other columns (source, language,
-length). Each is a logistic regression. In every round each view labels the
-pool of unlabelled rows where it is confident, and the other view learns from
-those pseudo-labels. At the end each view's log-odds are calibrated on labelled
-rows that neither has learned from, and the calibrated log-odds add up, less
-the prior's. Models are fitted on bounded samples; all rows are scored.
+length). Each is a logistic regression. In every round each view labels all
+unlabelled rows where it is confident, and the other view learns from those
+pseudo-labels: from a bounded number of them, drawn in equal shares from the
+kinds of metadata, so that rare kinds are heard. At the end each view's log-odds
+are calibrated on labelled rows that neither has learned from, and the calibrated
+log-odds add up, less the prior's. What is fitted on is bounded; all rows are
+judged in every round and scored at the end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled and unlabelled rows that are fitted on, about; they are drawn by a hash of the id.
+from siftpool.sources.state import discard, materialize
+
+from ._skew import probable
+from .langid import level
+
+#: Labelled rows, and rows with pseudo-labels in each round, that are fitted on, about; they are drawn by a hash of the row.
 MAX_LABELLED, MAX_POOL = 8_000, 8_000
+#: Kinds of metadata that pseudo-labels are drawn from in equal shares: hashes of the columns that are no numbers.
+CELLS = 64
 ROUNDS, CONFIDENT = 3, 0.97
 PAIRS, META = 128, 64
 #: Bytes of a text that are counted at once.
@@ -70,7 +80,7 @@ def meta_features(values: tuple) -> np.ndarray:
 
 @dataclass
 class Logistic:
-    """Logistic regression on standardised columns, with a ridge penalty; Newton steps by conjugate gradients."""
+    """Logistic regression on standardised columns, with a ridge penalty; Newton steps."""
 
     ridge: float = 1.0
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -134,12 +144,35 @@ class Model:
         return _sigmoid(parts[0] + parts[1] - self.prior)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, confident: float = CONFIDENT) -> Model:
-    """Fit on rows with y 0 or 1 (y is -1 in the pool); rows marked in `held` are kept for calibration.
+Views = tuple[list[Logistic], list[tuple[float, float]]]
+
+
+def judged(views: Views, data: tuple[np.ndarray, np.ndarray], confident: float) -> list[np.ndarray]:
+    """For each view, 1 or 0 for rows where it is confident of a label, else -1."""
+    out = []
+    for v, (a, b), x in zip(*views, data, strict=True):
+        p = _sigmoid(a * v.log_odds(x) + b)
+        out.append(np.where(p >= confident, 1, np.where(p <= 1 - confident, 0, -1)))
+    return out
+
 
-    Without rows of both classes to learn from, the model gives every row the share of class 1.
+def co_train(
+    text: np.ndarray,
+    meta: np.ndarray,
+    y: np.ndarray,
+    held: np.ndarray,
+    rounds: int = ROUNDS,
+    confident: float = CONFIDENT,
+    pool: Callable[[Views], list[tuple[np.ndarray, np.ndarray]]] | None = None,
+) -> Model:
+    """Fit on rows with y 0 or 1 (y is -1 for unlabelled ones); rows marked in `held` are kept for calibration.
+
+    pool gives for each view the features and pseudo-labels that the other one
+    teaches it; by default they come from the unlabelled rows of the arrays.
+    Without rows of both classes to learn from, the model gives every row the
+    share of class 1.
     """
-    known, pool = np.flatnonzero((y >= 0) & ~held), np.flatnonzero(y < 0)
+    known, free = np.flatnonzero((y >= 0) & ~held), np.flatnonzero(y < 0)
     check = np.flatnonzero((y >= 0) & held)
     labelled = y[y >= 0]
     if len(known) == 0 or y[known].min() == y[known].max():
@@ -147,19 +180,17 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray
     if len(check) == 0 or y[check].min() == y[check].max():
         check = known
     data = (text, meta)
-    lent: list[dict[int, int]] = [{}, {}]  # pseudo-labels that each view learns from
+
+    def own_pool(views: Views) -> list[tuple[np.ndarray, np.ndarray]]:
+        told = judged(views, (text[free], meta[free]), confident)
+        return [(x[free][told[1 - k] >= 0], told[1 - k][told[1 - k] >= 0]) for k, x in enumerate(data)]
+
+    lent: list[tuple[np.ndarray, np.ndarray]] = [(x[:0], y[:0]) for x in data]
     for turn in range(rounds + 1):
-        views = []
-        for x, extra in zip(data, lent, strict=True):
-            rows = np.concatenate([known, np.fromiter(extra, np.int64, len(extra))])
-            views.append(Logistic().fit(x[rows], np.concatenate([y[known], np.fromiter(extra.values(), np.int64, len(extra))])))
+        views = [Logistic().fit(np.concatenate([x[known], more]), np.concatenate([y[known], labels])) for x, (more, labels) in zip(data, lent, strict=True)]
         scales = [platt(v.log_odds(x[check]), y[check]) for v, x in zip(views, data, strict=True)]
-        if turn == rounds or not len(pool):
-            break
-        for view, (v, (a, b), x) in enumerate(zip(views, scales, data, strict=True)):
-            p = _sigmoid(a * v.log_odds(x[pool]) + b)
-            for label, sure in ((1, p >= confident), (0, p <= 1 - confident)):
-                lent[1 - view].update(dict.fromkeys(pool[sure].tolist(), label))
+        if turn < rounds:
+            lent = (pool or own_pool)((views, scales))
     return Model(views, scales, _log_odds(y[check]))
 
 
@@ -169,38 +200,88 @@ def _features(texts: pa.Array, metas: list[pa.Array]) -> tuple[np.ndarray, np.nd
     return text, meta
 
 
+def _packed(x: np.ndarray) -> pa.Array:
+    """Rows of features as bytes, with half the digits: sums over rows do not need more."""
+    return pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary())
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1).astype(np.float32)
+
+
+def _cell(values: tuple) -> int:
+    return xxhash.xxh3_64_intdigest(repr([None if isinstance(v, int | float) else v for v in values])) % CELLS
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars"), label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model:
-    """A model from about max_labelled rows of docs with a label 0 or 1 and max_pool rows without one.
+    """A model from about max_labelled rows of docs with a label 0 or 1, and pseudo-labels of all other rows.
 
-    Null labels count as none; where an id has several labels, the least counts.
+    All other rows are judged in every round; about max_pool pseudo-labels for
+    each view are learned from. Null labels count as none; where an id has several
+    labels, the least counts. Rows alike in id, text and metadata count once.
     """
-    ids = docs.select(F.col(id_col).alias("i"))
-    told = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).cast("int").alias("y"))
-    found = ids.join(told, "i", "left").agg(F.count("y").alias("known"), F.count(F.lit(1)).alias("all")).first()
-    ticket = F.pmod(F.xxhash64("i"), F.lit(1 << 30))
-    shares = {k: int(min(1.0, most / max(n, 1)) * (1 << 30)) for k, most, n in (("known", max_labelled, found["known"]), ("pool", max_pool, found["all"] - found["known"]))}
-    # Tickets are drawn before texts are read, so only drawn rows are joined.
-    drawn = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), *[F.col(c).alias(f"m{k}") for k, c in enumerate(meta_cols)])
-    drawn = drawn.filter(ticket < max(shares.values()))
-    drawn = drawn.join(told.filter(ticket < max(shares.values())), "i", "left")
-    drawn = drawn.filter(ticket < F.when(F.col("y").isNull(), shares["pool"]).otherwise(shares["known"]))
+    told = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).cast("int").alias("y"))
+    names = [f"m{k}" for k in range(len(meta_cols))]
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), *[F.col(c).alias(n) for n, c in zip(names, meta_cols, strict=True)])
+    rows = rows.withColumn("h", F.xxhash64("i", "t", *names))
+    known = rows.select("i").join(told, "i").count()
+    share = min(1.0, max_labelled / max(known, 1))
+    drawn = rows.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    # Tickets are drawn before texts are moved, and rows that surely have no label are not moved.
+    drawn = probable(drawn, F.xxhash64(F.coalesce(F.col("i").cast("string"), F.lit(""))), told.select(F.xxhash64(F.col("i").cast("string")))).filter("_maybe").drop("_maybe").join(told, "i")
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            text, meta = _features(b["t"], [b[f"m{k}"] for k in range(len(meta_cols))])
-            held = [xxhash.xxh3_64_intdigest(str(i)) % 4 == 0 for i in b["i"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["i"], b["y"], pa.array(held), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], ["i", "y", "held", "text", "meta"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = drawn.mapInArrow(run, f"i {kind}, y int, held boolean, text binary, meta binary").toArrow()  # bounded by the two limits
-    if not rows.num_rows:
+            if b.num_rows:
+                metas = [b[n] for n in names]
+                cells = [_cell(v) for v in zip(*(m.to_pylist() for m in metas), strict=True)]
+                yield pa.RecordBatch.from_arrays([b["i"], b["y"], b["h"], pa.array(cells, pa.int32()), *map(_packed, _features(b["t"], metas))], ["i", "y", "h", "cell", "text", "meta"])
+
+    schema = f"i {kind}, y int, h long, cell int, text binary, meta binary"
+    sample = drawn.dropDuplicates(["h"]).mapInArrow(run, schema).toArrow()  # bounded by max_labelled
+    if not sample.num_rows:
         return Model([], [], 0.0)
-    order = np.argsort(np.array([str(i) for i in rows["i"].to_pylist()]), kind="stable")  # so that partitioning changes nothing
-    text, meta = (np.array([np.frombuffer(v, np.float32) for v in rows[c].to_pylist()])[order] for c in ("text", "meta"))
-    y = np.array([-1 if v is None else v for v in rows["y"].to_pylist()])[order]
-    return co_train(text, meta, y, np.array(rows["held"].to_pylist(), bool)[order])
+    sample = sample.sort_by("h")  # so that partitioning changes nothing
+    text, meta = _unpacked(sample["text"]), _unpacked(sample["meta"])
+    held = np.array([xxhash.xxh3_64_intdigest(str(i)) % 4 == 0 for i in sample["i"].to_pylist()])
+    own = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in sample["h"].to_pylist()], "h long"))  # max_labelled rows, about
+    free = materialize(rows.join(own, "h", "left_anti").withColumn("y", F.lit(None).cast("int")).mapInArrow(run, schema), "pool")
+
+    def pool(views: Views) -> list[tuple[np.ndarray, np.ndarray]]:
+        """What each view learns from the other: counts of confident rows by cell tell the shares that are drawn."""
+        now = docs.sparkSession.sparkContext.broadcast(views)
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    for view, label in enumerate(judged(now.value, (_unpacked(b["text"]), _unpacked(b["meta"])), CONFIDENT)):
+                        at = pa.array(np.flatnonzero(label >= 0))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), view, np.int32)), pa.array(label[label >= 0].astype(np.int32)), b["cell"].take(at), b["h"].take(at), b["meta" if view == 0 else "text"].take(at)], ["view", "label", "cell", "h", "x"])
+
+        sure = free.mapInArrow(judge, "view int, label int, cell int, h long, x binary")
+        sizes = sure.groupBy("view", "label", "cell").agg(F.approx_count_distinct("h").alias("n")).collect()  # at most 4 * CELLS rows
+        tickets = []
+        for view in (0, 1):
+            counts = [r for r in sizes if r["view"] == view]
+            each = level([r["n"] for r in counts], max_pool)
+            tickets += [(view, r["label"], r["cell"], int(min(1.0, each / max(r["n"], 1)) * (1 << 30))) for r in counts]
+        if not tickets:
+            return [(x[:0], np.zeros(0, np.int64)) for x in (text, meta)]
+        limits = F.broadcast(docs.sparkSession.createDataFrame(tickets, "view int, label int, cell int, least long"))
+        got = sure.join(limits, ["view", "label", "cell"]).filter(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.col("least")).select("view", "label", "h", "x").dropDuplicates(["view", "h"]).toArrow()
+        got = got.sort_by("h")  # about max_pool rows for each view
+        out = []
+        for taught, width in ((0, text.shape[1]), (1, meta.shape[1])):
+            mine = got.filter(pa.compute.equal(got["view"], 1 - taught))
+            out.append((_unpacked(mine["x"]) if mine.num_rows else np.zeros((0, width), np.float32), np.array(mine["label"].to_pylist(), np.int64)))
+        return out
+
+    y = np.array(sample["y"].to_pylist())
+    model = co_train(text, meta, y, held, pool=pool)
+    discard(free)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang", "n_chars"), keep: float | None = None) -> DataFrame:

@@ -690,6 +690,41 @@ def test_quality_views_teach_each_other():
     assert right(taught) >= 0.97 and view(taught) >= view(alone) - 0.01
 
 
+def test_quality_against_plain_co_training(spark, documents):
+    """Where no bound binds, the result is that of co-training on all rows at once, in memory."""
+    import numpy as np
+
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] in (0, 1)}
+    rows = documents.collect()
+    half = lambda x: np.array(x).astype(np.float16).astype(np.float32)
+    text = half([cotrain.text_features(r["text"] or "") for r in rows])
+    meta = half([cotrain.meta_features((r["source"], r["lang"], r["n_chars"])) for r in rows])
+    y = np.array([known.get(r["doc_id"], -1) for r in rows])
+    import xxhash
+
+    held = np.array([xxhash.xxh3_64_intdigest(str(r["doc_id"])) % 4 == 0 for r in rows])
+    plain = cotrain.co_train(text, meta, y, held)
+    expected = dict(zip((r["doc_id"] for r in rows), plain.score(text, meta), strict=True))
+    model = cotrain.fit(documents, labels)
+    for r in cotrain.score(documents, model).collect():
+        assert abs(r["quality_score"] - expected[r["doc_id"]]) < 0.02
+
+
+def test_quality_rare_kinds_are_heard(spark):
+    """Of 3000 rows one source has 12; with 100 pseudo-labels for each view, it teaches nearly as much as the others."""
+    rows = [(i, ("good words " if i % 2 else "BAD 123 ") * (3 + i % 5), "rare" if i % 250 == 1 or i % 250 == 2 else f"s{i % 2}", None, i % 7) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    seen, plain = [], cotrain.co_train
+    try:
+        cotrain.co_train = lambda *a, pool: plain(*a, pool=lambda v: seen.append(pool(v)) or seen[-1])
+        cotrain.fit(docs, labels, max_pool=100)
+    finally:
+        cotrain.co_train = plain
+    assert len(seen) == 3 and all(60 <= len(y) <= 140 for got in seen for _, y in got)
+
+
 def test_quality_odd_rows(spark, odd):
     docs = odd.withColumn("n_chars", F.length("text"))
     labels = spark.createDataFrame([(1, 0), (3, 1), (3, 0), (None, 1), (5, None), (7, 1)], "doc_id long, quality int")
