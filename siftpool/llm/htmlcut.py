@@ -1,14 +1,15 @@
 """Main-text extraction from HTML by minimum-cut labelling.
 
 A page is read into text blocks. A logistic classifier over a block's tags,
-class and id words, links, length and punctuation gives each block a
-probability of being content; its costs become capacities from the source
-(content) and to the sink (boilerplate). Neighbouring blocks, and blocks that
-follow each other in one parent element, are joined by smoothness edges, which
-are weaker across the borders of sectioning elements. The minimum cut, found by
-max-flow, separates content from boilerplate. Blocks inside elements that never
-hold the article (scripts, menus, forms and so on) are fixed on the sink's side
-by a capacity that no cut can pay.
+class and id words, links, length and punctuation gives each block its log-odds
+of being content; they become capacities from the source (content) or to the
+sink (boilerplate). Blocks that follow each other, on the page or in one parent
+element, are joined by smoothness edges, which are the weaker the farther apart
+the blocks lie in the tree, and weaker across the borders of sectioning elements.
+The minimum cut, found by max-flow, separates content from boilerplate. Blocks
+inside elements that never hold the article (scripts, menus, forms and so on) are
+fixed on the sink's side by a capacity that no cut can pay. The classifier and
+the edges' scale are fitted on generated pages of several layouts: see htmltrain.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|aria-label|style
 RAW = frozenset(("script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 #: Elements that never hold the article.
-NEVER = frozenset(("head", "nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "svg", "math", "canvas", "object", "audio", "video", "map", "datalist", "fieldset"))
-INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"))
+NEVER = frozenset(("head", "nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "svg", "canvas", "object", "audio", "video", "map", "datalist", "fieldset"))
+INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "math", "mfrac", "mi", "mn", "mo", "mrow", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtext", "semantics"))
 #: Opening one of these ends an open element of the right-hand kinds.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS_P = frozenset(("address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"))
@@ -49,22 +50,24 @@ ABOUT = frozenset("has no with without".split())
 _RIGHTS = re.compile(r"©|\ball rights reserved\b|\bcopyright\b", re.I)
 FOR = frozenset("article articlebody body content contents entry main maincontent post postbody story storybody text".split())
 STRONG = (AGAINST | (REMARK - {"review", "reviews"})) - SOFT
-#: Log-odds of the classifier.
-BIAS, IN_ARTICLE, IN_MAIN, IN_HEADER, WORD_AGAINST, WORD_SOFT, WORD_FOR, LINKS, LENGTH, STOPS, TITLE, HEADING, PARAGRAPH, HIDDEN, RIGHTS = -0.6, 4.0, 1.5, -3.0, -14.0, -6.0, 1.0, -4.0, 0.35, 0.6, 1.2, 0.3, 0.6, -14.0, -4.0
-#: Capacities of the smoothness edges, and of what may not be cut.
-NEXT, SIBLING, BORDER, FIXED = 0.5, 0.4, 0.1, 1e6
+#: Capacities that may not be cut; a border's and a later sibling's share of an edge.
+FIXED, BORDER, SIBLING = 1e6, 0.2, 0.5
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+ARTICLE, MAIN, HEADER, BARRED = 1, 2, 4, 8
+
+
 class Block:
-    """A run of text in one block element."""
+    """A run of text in one block element: its element's number and tag, and what the elements above it say."""
 
-    __slots__ = ("linked", "marks", "parent", "parts", "path", "tag", "text")
+    __slots__ = ("flags", "linked", "marks", "node", "parts", "section", "tag", "text")
 
-    def __init__(self, path: tuple[str, ...], parent: int, marks: frozenset[str], tag: str) -> None:
-        self.path, self.parent, self.marks, self.tag = path, parent, marks, tag
+    def __init__(self, node: int, tag: str) -> None:
+        self.node, self.tag = node, tag
         self.parts: list[str] = []
-        self.linked, self.text = 0, ""
+        self.linked, self.text, self.flags, self.section = 0, "", 0, 0
+        self.marks: frozenset[str] = frozenset()
 
 
 def _marks(tag: str, attributes: str) -> frozenset[str]:
@@ -85,18 +88,85 @@ def _marks(tag: str, attributes: str) -> frozenset[str]:
     return frozenset(w for w in out if w in AGAINST or w in REMARK or w in FOR or w == "!hidden")
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks in page order; white space inside a block is one space, character references are decoded."""
+class Tree:
+    """Elements of a page by number, a parent's below its children's; each costs the same however deep it lies."""
+
+    def __init__(self) -> None:
+        self.parent, self.tags, self.marks = [0], [""], {}
+
+    def add(self, parent: int, tag: str, marks: frozenset[str]) -> int:
+        self.parent.append(parent)
+        self.tags.append(tag)
+        if marks:
+            self.marks[len(self.tags) - 1] = marks
+        return len(self.tags) - 1
+
+    def settle(self, found: list[Block]) -> None:
+        """Give each block flags, section and marks of the elements above it.
+
+        Words against content do not count on an element that has half of the
+        page's text and a title, main or article element below it: it is a wrapper.
+        """
+        n = len(self.tags)
+        size, holds = [0] * n, [False] * n
+        for b in found:
+            size[b.node] += len(b.text)
+        for i in range(n - 1, 0, -1):
+            own = self.marks.get(i, _NONE)
+            holds[i] |= self.tags[i] in ("h1", "main") or (self.tags[i] == "article" and not own & REMARK)
+            size[self.parent[i]] += size[i]
+            holds[self.parent[i]] |= holds[i]
+        flags, section, marks = [0] * n, [0] * n, [_NONE] * n
+        for i in range(1, n):
+            tag, up = self.tags[i], self.parent[i]
+            own = self.marks.get(i, _NONE)
+            if own and holds[i] and 2 * size[i] >= size[0]:
+                own -= AGAINST | REMARK
+            marks[i] = marks[up] | own if own - marks[up] else marks[up]
+            section[i] = i if tag in SECTIONS else section[up]
+            flags[i] = flags[up] | (ARTICLE if tag == "article" else MAIN if tag == "main" else BARRED if tag in NEVER else HEADER if tag == "header" and not flags[up] & ARTICLE else 0)
+        for b in found:
+            b.flags, b.section, b.marks = flags[b.node], section[b.node], marks[b.node]
+
+    def steps(self, a: int, b: int) -> int:
+        """Elements on the way from a to b through the tree; walks no farther than their common ancestor."""
+        out = 0
+        while a != b:
+            if a > b:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+            out += 1
+        return out
+
+
+_NONE: frozenset[str] = frozenset()
+
+
+def blocks(page: str) -> tuple[list[Block], Tree]:
+    """Text blocks in page order; white space inside a block is one space, character references are decoded.
+
+    The time is linear in the page's length, whatever is nested or left open.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, int, frozenset[str]]] = [("", 0, frozenset())]
-    count, links, now = 1, 0, None
-    at = 0
-    none: frozenset[str] = frozenset()
+    tree = Tree()
+    # Open elements: tag, number, place of the nearest one that is no inline element.
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]
+    opened: list[dict[str, int]] = [{}]  # how many of a tag are open, inline ones since the last sectioning element
+    blocks_open: dict[str, int] = {}
+    links, now, at = 0, None, 0
 
     def close(until: int) -> None:
         nonlocal links
         while len(stack) > until:
-            links -= stack.pop()[0] == "a"
+            tag = stack.pop()[0]
+            links -= tag == "a"
+            if tag in SECTIONS:
+                opened.pop()
+            if tag in INLINE:
+                opened[-1][tag] -= 1
+            else:
+                blocks_open[tag] -= 1
 
     while at < len(page):
         m = _TOKEN.match(page, at)
@@ -107,23 +177,22 @@ def blocks(page: str) -> list[Block]:
             if text.startswith("<") and text != "<":
                 continue
             if now is None:
-                path = tuple(t for t, _, _ in stack)
-                holder = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE)
-                now = Block(path, stack[holder - 1][1] if holder else 0, none.union(*(k for _, _, k in stack)), stack[holder][0])
+                holder = stack[stack[-1][2]]
+                now = Block(stack[-1][1], holder[0])
                 out.append(now)
             now.parts.append(text)
             if links:
                 now.linked += len(text)
             continue
+        inline = tag in INLINE
         if m[1] or m[4]:
-            if tag not in INLINE:
+            if not inline:
                 now = None
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if stack[i][0] in SECTIONS and tag in INLINE:
-                    break
+            if (opened[-1] if inline else blocks_open).get(tag):
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                close(i)
             continue
         attributes = m[3] or m[6] or ""
         if tag in RAW:
@@ -138,48 +207,65 @@ def blocks(page: str) -> list[Block]:
             if tag == "hr":
                 now = None
             continue
-        if tag not in INLINE:
+        if not inline:
             now = None
             ends = CLOSES.get(tag, ())
             if tag in ENDS_P:
                 ends = (*ends, "p")
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
-                    close(i)
-                elif stack[i][0] not in INLINE:
-                    break
-                elif stack[i - 1][0] in ends:
-                    close(i)
-        if not attributes.rstrip().endswith("/") or tag in SECTIONS or tag in INLINE or tag == "p":
-            marks = _marks(tag, attributes) if attributes else none
-            stack.append((tag, count, marks))
-            count += 1
+            while (holder := stack[-1][2]) and stack[holder][0] in ends:
+                close(holder)
+        if not attributes.rstrip().endswith("/") or tag in SECTIONS or inline or tag == "p":
+            node = tree.add(stack[-1][1], tag, _marks(tag, attributes) if attributes else _NONE)
+            stack.append((tag, node, stack[-1][2] if inline else len(stack)))
+            count = opened[-1] if inline else blocks_open
+            count[tag] = count.get(tag, 0) + 1
+            if tag in SECTIONS:
+                opened.append({})
             links += tag == "a"
     kept = []
     for b in out:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
         if b.text:
             kept.append(b)
-    return kept
+    tree.settle(kept)
+    return kept, tree
 
 
-def log_odds(block: Block) -> float:
-    """The classifier: log-odds that the block is content; -inf where an element rules it out."""
-    path = block.path
-    if any(t in NEVER for t in path):
-        return -math.inf
-    if "header" in path and "article" not in path[: len(path) - path[::-1].index("header")]:
-        return -math.inf if "main" not in path else IN_HEADER
+#: What the classifier reads of a block, in this order.
+FEATURES = ("in_article", "in_main", "in_header", "word_against", "word_soft", "word_for", "hidden", "links", "length", "stops", "title", "heading", "paragraph", "rights")
+
+
+def barred(block: Block) -> bool:
+    """Whether an element rules the block out."""
+    return bool(block.flags & BARRED) or (bool(block.flags & HEADER) and not block.flags & MAIN)
+
+
+def features(block: Block) -> list[float]:
     raw = sum(map(len, block.parts)) or 1
-    value = BIAS
-    value += IN_ARTICLE * ("article" in path) + IN_MAIN * ("main" in path)
-    value += WORD_AGAINST * bool(block.marks & STRONG) + WORD_SOFT * bool(block.marks & SOFT)
-    value += WORD_FOR * bool(block.marks & FOR) + HIDDEN * ("!hidden" in block.marks)
-    value += RIGHTS * ("article" not in path and len(block.text) < 300 and bool(_RIGHTS.search(block.text)))
-    value += LINKS * (block.linked / raw) ** 2 * (1 if "article" not in path else 0.5)
-    value += LENGTH * math.log1p(len(block.text) / 20) + STOPS * (block.text[-1] in ".!?…\"'”’")
-    value += TITLE * (block.tag == "h1") + HEADING * (block.tag in ("h2", "h3")) + PARAGRAPH * (block.tag in ("p", "pre", "blockquote"))
-    return value
+    inside = bool(block.flags & ARTICLE)
+    return [
+        inside,
+        bool(block.flags & MAIN),
+        bool(block.flags & HEADER),
+        bool(block.marks & STRONG),
+        bool(block.marks & SOFT),
+        bool(block.marks & FOR),
+        "!hidden" in block.marks,
+        (block.linked / raw) ** 2 * (0.5 if inside else 1.0),
+        math.log1p(len(block.text) / 20),
+        block.text[-1] in ".!?…\"'”’",
+        block.tag == "h1",
+        block.tag in ("h2", "h3"),
+        block.tag in ("p", "pre", "blockquote"),
+        0.0 if inside or not _RIGHTS.search(block.text) else 20 / (20 + block.text.count(" ")),
+    ]
+
+
+def log_odds(block: Block, weights: list[float]) -> float:
+    """The classifier: log-odds that the block is content; -inf where an element rules it out. The last weight is the constant."""
+    if barred(block):
+        return -math.inf
+    return sum(w * x for w, x in zip(weights, features(block), strict=False)) + weights[-1]
 
 
 class Network:
@@ -241,14 +327,21 @@ class Network:
         return [x >= 0 for x in level]
 
 
-def label(found: list[Block]) -> list[bool]:
-    """Which blocks are content: the side of the source in the minimum cut."""
+def label(found: list[Block], tree: Tree, weights: list[float], scale: float) -> list[bool]:
+    """Which blocks are content: the side of the source in the minimum cut. scale: the capacity between two paragraphs in a row."""
     n = len(found)
     net = Network(n + 2)
     source, sink = n, n + 1
     last: dict[int, int] = {}
+
+    def join(i: int, j: int, share: float) -> None:
+        a, b = found[i], found[j]
+        border = BORDER if a.section != b.section or a.marks != b.marks else 1.0
+        room = scale * share * border / max(tree.steps(a.node, b.node) - 1, 1)
+        net.join(i, j, room, room)
+
     for i, b in enumerate(found):
-        odds = log_odds(b)
+        odds = log_odds(b, weights)
         if odds == -math.inf:
             net.join(i, sink, FIXED)
         elif odds >= 0:
@@ -256,19 +349,22 @@ def label(found: list[Block]) -> list[bool]:
         else:
             net.join(i, sink, -odds)
         if i:
-            here = [t for t in b.path if t in SECTIONS]
-            border = here != [t for t in found[i - 1].path if t in SECTIONS] or b.marks != found[i - 1].marks
-            net.join(i - 1, i, BORDER if border else NEXT, BORDER if border else NEXT)
-        if b.parent in last and last[b.parent] != i - 1:
-            net.join(last[b.parent], i, SIBLING, SIBLING)
-        last[b.parent] = i
+            join(i - 1, i, 1.0)
+        up = tree.parent[b.node]
+        if up in last and last[up] != i - 1:
+            join(last[up], i, SIBLING)
+        last[up] = i
     return net.side(source, sink)[:n]
 
 
-def main_text(page: str) -> str:
-    """The page's content blocks, joined by one space."""
-    found = blocks(page)
-    return " ".join(b.text for b, content in zip(found, label(found), strict=True) if content)
+def main_text(page: str, weights: list[float] | None = None, scale: float | None = None) -> str:
+    """The page's content blocks, joined by one space; by the fitted classifier and scale unless others are given."""
+    if weights is None:
+        from .htmltrain import fitted
+
+        weights, scale = fitted()
+    found, tree = blocks(page)
+    return " ".join(b.text for b, content in zip(found, label(found, tree, weights, scale), strict=True) if content)
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
@@ -277,11 +373,14 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
     A null, empty or text-free page has the empty text. Repeated pages are rows
     as any others; an empty table gives an empty result.
     """
+    from .htmltrain import fitted
+
     names = [c for c in pages.columns if c not in (html_col, text_col, "n_chars")]
+    weights, scale = fitted()  # on the driver, once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x.as_py() or "") for x in b.column(len(names))]
+            texts = [main_text(x.as_py() or "", weights, scale) for x in b.column(len(names))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, text_col, "n_chars"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.select(*names).schema)

@@ -311,6 +311,44 @@ def test_html_remarks_and_adverts_in_articles(page):
     assert "UNWANTED" not in text and text.count("Wanted") == 2 and _PROSE.strip() in text
 
 
+def test_html_cut_beats_the_threshold_on_layouts_it_was_not_fitted_on():
+    from siftpool.llm import htmltrain
+
+    weights, scale = htmltrain.fitted()
+    made = htmltrain.pages(htmltrain.HELD_OUT, 150, 7)
+    cut, total = htmltrain.accuracy(made, weights, scale)
+    alone, _ = htmltrain.accuracy(made, weights, 0.0)
+    assert scale > 0 and cut >= 0.96 * total and cut - alone >= 0.01 * total
+    assert all(found and any(truth) for found, _, truth in made)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='layout sidebar-right'><nav><a href=/>UNWANTED</a></nav><div><h1>Wanted</h1><p>Wanted {_PROSE}</p></div></div>",
+        f"<div class='page-wrapper has-menu header-fixed'><div class='elementor-widget-text-editor'><h1>Wanted</h1><p>{_PROSE}</p><p>Wanted, then.</p></div><div class=footer>UNWANTED</div></div>",
+        f"<article><h1>Wanted</h1><p>Wanted <math><mi>x</mi><mo>=</mo><mn>2</mn></math> {_PROSE}</p></article><footer>UNWANTED</footer>",
+        f"<article><h1>Wanted</h1><p>Wanted {_PROSE}</p><p>All rights reserved is what the old notice said; {_PROSE}</p></article>",
+    ],
+)
+def test_html_wrappers_and_formulae(page):
+    text = htmlcut.main_text(page)
+    assert "UNWANTED" not in text and text.count("Wanted") == 2 and _PROSE.strip() in text and ("<math>" not in page or "x=2" in text)
+
+
+def test_html_time_is_linear_in_nested_and_open_elements():
+    import time
+
+    weights = [1.0] * (len(htmlcut.FEATURES) + 1)
+    for make in (lambda n: "<div>x" * n, lambda n: "<b>" * n + "<div>x</div></i>" * n, lambda n: "<p>x" * n + "</q>" * n):
+        times = []
+        for n in (4000, 32_000):
+            began = time.process_time()
+            assert len(htmlcut.main_text(make(n), weights, 1.0)) == 2 * n - 1
+            times.append(time.process_time() - began)
+        assert times[1] < 25 * times[0] + 1
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<!--", "<script>x", "</p></p>", "<a href='", "<p>" * 500, "&#x110000; &bogus; &amp"])
 def test_html_broken_pages(page):
     htmlcut.main_text(page)
