@@ -7,11 +7,9 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Abramowitz and Stegun 7.1.26, and two linear congruential generators modulo 2**31.
+# Abramowitz and Stegun 7.1.26.
 ERF_P = 0.3275911
 ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
-GENERATORS = ((1103515245, 12345), (69069, 1))
-MODULUS = 2147483648
 
 
 def normal_pdf(z: Column) -> Column:
@@ -29,15 +27,24 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, 1.0 - tail).otherwise(tail)
 
 
-def hash_uniform(key: Column, generator: int = 0) -> Column:
-    """A number in [0, 1) that depends on the integer key alone, not on partitioning."""
-    a, c = GENERATORS[generator]
-    return ((key.cast("long") % F.lit(MODULUS)) * F.lit(a) + F.lit(c)) % F.lit(MODULUS) / F.lit(float(MODULUS))
+def _digest(key: Column, seed: int) -> Column:
+    return F.md5(F.concat(key.cast("string"), F.lit(f"/{seed}")))
 
 
-def hash_normal(key: Column) -> Column:
-    """A standard normal draw from two uniform draws of the key (Box-Muller)."""
-    u, v = hash_uniform(key), hash_uniform(key, 1)
+def _share(digits: Column) -> Column:
+    """13 hexadecimal digits as a number in [0, 1)."""
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**13))
+
+
+def hash_uniform(key: Column, seed: int = 0) -> Column:
+    """A number in [0, 1) that depends on key and seed alone, not on partitioning. Null for a null key."""
+    return _share(F.substring(_digest(key, seed), 1, 13))
+
+
+def hash_normal(key: Column, seed: int = 0) -> Column:
+    """A standard normal draw from two uniform draws of key and seed (Box-Muller)."""
+    digest = _digest(key, seed)
+    u, v = _share(F.substring(digest, 1, 13)), _share(F.substring(digest, 14, 13))
     return F.sqrt(-2.0 * F.log(1.0 - u)) * F.cos(2 * math.pi * v)
 
 

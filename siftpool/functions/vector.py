@@ -61,6 +61,39 @@ def padded_size(longest: Column, multiple: int = 4) -> Column:
     return F.ceil((longest + 1) / F.lit(float(multiple))) * multiple - 1
 
 
+def pad_2d(rows: Column, size: Column | int, value: float = 0.0) -> Column:
+    """A square matrix of `size` rows that holds `rows`, an array of arrays, in its first rows and columns."""
+    size = size if isinstance(size, Column) else F.lit(size)
+    empty = F.array_repeat(F.lit(value), size.cast("int"))
+    wide = F.transform(rows, lambda r: pad(r, size, value))
+    return F.concat(wide, F.array_repeat(empty, F.greatest(size - F.size(rows), F.lit(0)).cast("int")))
+
+
+def offset_codes(codes: Column, width: int = 512) -> Column:
+    """Categories of several features as codes of one table: the i-th plus 1 + i * width."""
+    return F.transform(codes, lambda x, i: x + 1 + i * width)
+
+
+def crop(items: Column, most: int, key: Column, seed: int = 0) -> Column:
+    """At most `most` elements of an array, drawn by the key and kept in their order."""
+    from siftpool.functions.math import hash_uniform
+
+    placed = F.transform(items, lambda x, i: F.struct(hash_uniform(F.concat(key.cast("string"), F.lit("/"), i.cast("string")), seed).alias("u"), i.alias("i"), x.alias("x")))
+    kept = F.slice(F.array_sort(placed), 1, most)
+    return F.transform(F.array_sort(F.transform(kept, lambda p: F.struct(p["i"].alias("i"), p["x"].alias("x")))), lambda p: p["x"])
+
+
+def centred(v: Column) -> Column:
+    """The elements less their mean."""
+    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
+    return F.transform(v, lambda x: x - mean)
+
+
+def mean_vector(vector: str, dim: int) -> Column:
+    """The mean over a group's vectors, element by element."""
+    return F.array(*[F.avg(F.col(vector)[i].cast("double")) for i in range(dim)])
+
+
 def one_hot(value: Column, choices: list, unknown: bool = True) -> Column:
     """Indicators of the choices, and a last one for any other value."""
     flags = [F.coalesce(value == c, F.lit(False)).cast("int") for c in choices]

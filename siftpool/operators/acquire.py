@@ -25,22 +25,22 @@ NEEDS: dict[str, frozenset[str]] = {
 }
 
 
-def random(key: Column) -> Column:
-    return hash_uniform(key)
+def random(key: Column, seed: int = 0) -> Column:
+    return hash_uniform(key, seed)
 
 
-def threshold(mu: Column, key: Column, least: float) -> Column:
+def threshold(mu: Column, key: Column, least: float, seed: int = 0) -> Column:
     """A random order of rows with mu of at least `least`, all others behind."""
-    return F.when(mu >= least, hash_uniform(key)).otherwise(-1.0)
+    return F.when(mu >= least, hash_uniform(key, seed)).otherwise(-1.0)
 
 
 def greedy(mu: Column) -> Column:
     return mu
 
 
-def noisy(mu: Column, key: Column, spread: Column) -> Column:
+def noisy(mu: Column, key: Column, spread: Column, seed: int = 0) -> Column:
     """mu with normal noise of the pool's own deviation."""
-    return mu + spread * hash_normal(key)
+    return mu + spread * hash_normal(key, seed)
 
 
 def ucb(mu: Column, var: Column, beta: float = 2.0) -> Column:
@@ -51,9 +51,9 @@ def lcb(mu: Column, var: Column, beta: float = 2.0) -> Column:
     return mu - beta * F.sqrt(var)
 
 
-def thompson(mu: Column, var: Column, key: Column, stochastic: bool = False) -> Column:
+def thompson(mu: Column, var: Column, key: Column, stochastic: bool = False, seed: int = 0) -> Column:
     """A draw from N(mu, var); mu itself where the model's means are draws already."""
-    return mu if stochastic else mu + F.sqrt(var) * hash_normal(key)
+    return mu if stochastic else mu + F.sqrt(var) * hash_normal(key, seed)
 
 
 def expected_improvement(mu: Column, var: Column, best: Column, xi: float = 0.01) -> Column:
@@ -80,8 +80,8 @@ def prune(preds: DataFrame, least: Column, p_min: float = 0.025) -> DataFrame:
     return preds.filter(probability_above(F.col("mu"), F.col("var"), least) >= p_min)
 
 
-def utility(name: str, preds: DataFrame, key: str = "row_idx", best: Column | None = None, least: float = 0.0, beta: float = 2.0, xi: float = 0.01) -> DataFrame:
-    """preds with a column `u` by the function's name; ValueError for an unknown one."""
+def utility(name: str, preds: DataFrame, key: str = "row_idx", best: Column | None = None, least: float = 0.0, beta: float = 2.0, xi: float = 0.01, seed: int = 0) -> DataFrame:
+    """preds with a column `u` by the function's name; ValueError for an unknown one. Draws differ by seed: pass the round's."""
     from siftpool.operators.rank import global_rank
 
     k, mu, var = F.col(key), F.col("mu"), F.col("var") if "var" in preds.columns else F.lit(0.0)
@@ -89,15 +89,15 @@ def utility(name: str, preds: DataFrame, key: str = "row_idx", best: Column | No
         return global_rank(preds, [F.col("mu"), k], "u", start=0)
     if name == "noisy":
         spread = preds.agg(F.stddev_pop("mu").alias("_spread"))
-        return preds.crossJoin(F.broadcast(spread)).withColumn("u", noisy(mu, k, F.col("_spread"))).drop("_spread")
+        return preds.crossJoin(F.broadcast(spread)).withColumn("u", noisy(mu, k, F.col("_spread"), seed)).drop("_spread")
     made: dict[str, Callable[[], Column]] = {
-        "random": lambda: random(k),
-        "threshold": lambda: threshold(mu, k, least),
+        "random": lambda: random(k, seed),
+        "threshold": lambda: threshold(mu, k, least, seed),
         "greedy": lambda: greedy(mu),
         "ucb": lambda: ucb(mu, var, beta),
         "lcb": lambda: lcb(mu, var, beta),
-        "thompson": lambda: thompson(mu, var, k),
-        "ts": lambda: thompson(mu, var, k),
+        "thompson": lambda: thompson(mu, var, k, seed=seed),
+        "ts": lambda: thompson(mu, var, k, seed=seed),
         "ei": lambda: expected_improvement(mu, var, best, xi),
         "pi": lambda: probability_of_improvement(mu, var, best, xi),
     }

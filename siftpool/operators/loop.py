@@ -53,8 +53,14 @@ def run(pool: DataFrame, initial: DataFrame, predict: Callable[[DataFrame, DataF
     return labelled, metrics.history(per, k)
 
 
-def explore(pool: DataFrame, initial: DataFrame, predict: Callable, batch: int, k: int, window: int, delta: float, max_rounds: int, key: str = "row_idx") -> DataFrame:
-    """Labelled rows of a loop that stops by the moving average of top-k means, or after max_rounds batches."""
+def explore(pool: DataFrame, initial: DataFrame, predict: Callable, batch: int, k: int, window: int, delta: float, max_rounds: int, key: str = "row_idx", budget: int | None = None) -> DataFrame:
+    """Labelled rows of a loop that stops by the moving average of top-k means, or after max_rounds batches.
+
+    It also stops when `budget` rows are labelled, the last batch being cut to
+    it, and when the pool is exhausted.
+    """
+    total = pool.count()
+    budget = total if budget is None else min(budget, total)
     averages: list[tuple[int, float]] = []
     labelled = materialize(pool.join(initial.select(key), key, "left_semi").withColumn("round", F.lit(0)), "labelled")
     turn = 0
@@ -62,8 +68,9 @@ def explore(pool: DataFrame, initial: DataFrame, predict: Callable, batch: int,
         mean = metrics.top_average(labelled.withColumn("score", -F.col("score")), k, key).first()["topk_avg"]
         averages.append((turn, mean if mean is not None else 0.0))
         rounds = pool.sparkSession.createDataFrame(averages, "iter int, topk_avg double")
-        if turn >= max_rounds or metrics.moving_average_stop(rounds, window, delta).orderBy(F.desc("iter")).first()["stop"]:
+        done = labelled.count()
+        if turn >= max_rounds or done >= budget or metrics.moving_average_stop(rounds, window, delta).orderBy(F.desc("iter")).first()["stop"]:
             return labelled
         turn += 1
-        chosen = select.top(predict(labelled, select.unlabelled(pool, labelled, key)), "u", batch, F.col(key)).drop("u").withColumn("round", F.lit(turn))
+        chosen = select.top(predict(labelled, select.unlabelled(pool, labelled, key)), "u", min(batch, budget - done), F.col(key)).drop("u").withColumn("round", F.lit(turn))
         labelled = materialize(labelled.unionByName(chosen), "labelled")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftpool.functions.math import sigmoid
-from siftpool.operators.rank import global_rank
+from siftpool.operators.rank import running_sums
 
 
 def recall(explored: DataFrame, truth: DataFrame, k: int, id_col: str = "id") -> DataFrame:
@@ -16,6 +16,14 @@ def recall(explored: DataFrame, truth: DataFrame, k: int, id_col: str = "id") ->
     return hits.agg(F.count(F.lit(1)).alias("hits")).withColumn("recall", F.col("hits") / F.lit(float(k)))
 
 
+def top_rate(explored: DataFrame, truth: DataFrame, k: int, id_col: str = "id") -> DataFrame:
+    """One row: hits among the explored ids, and their share of k, or of the explored ids if those are fewer."""
+    own = explored.select(id_col).distinct()
+    n = own.agg(F.count(F.lit(1)).alias("n"))
+    hits = own.join(truth.select(id_col).distinct(), id_col, "left_semi").agg(F.count(F.lit(1)).alias("hits"))
+    return hits.crossJoin(n).select("hits", (F.col("hits") / F.nullif(F.least(F.col("n"), F.lit(k)), F.lit(0)).cast("double")).alias("rate"))
+
+
 def best(explored: DataFrame) -> DataFrame:
     return explored.agg(F.min("score").alias("best_score"))
 
@@ -39,14 +47,29 @@ def regression(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def classification(df: DataFrame, y: str, score: str, key: str, cut: float = 0.5) -> DataFrame:
-    """accuracy, auc (rank sum; tied scores share their mean rank) and log loss of a probability against 0/1; one row."""
-    same = Window.partitionBy(score)
-    ranked = global_rank(df.select(y, score, key), [F.col(score), F.col(key)], "_r").withColumn("_m", F.avg("_r").over(same))
+    """accuracy, auc (rank sum; tied scores share their mean rank), log_loss of a probability against 0/1, and pr_auc; one row.
+
+    pr_auc is the average precision: over distinct scores from the largest, the
+    precision so far times the gain in recall. Scores are counted first, so a
+    frequent one is one row where they are sorted.
+    """
     p = F.least(F.greatest(F.col(score), F.lit(1e-15)), F.lit(1 - 1e-15))
     loss = -(F.col(y) * F.log(p) + (1 - F.col(y)) * F.log(1 - p))
-    s = ranked.agg(F.avg(((F.col(score) >= cut).cast("int") == F.col(y)).cast("double")).alias("accuracy"), F.sum(F.when(F.col(y) == 1, F.col("_m"))).alias("rs"), F.sum(F.col(y).cast("double")).alias("n1"), F.sum((1 - F.col(y)).cast("double")).alias("n0"), F.avg(loss).alias("log_loss"))
-    auc = (F.col("rs") - F.col("n1") * (F.col("n1") + 1.0) / 2.0) / F.nullif(F.col("n1") * F.col("n0"), F.lit(0.0))
-    return s.select("accuracy", auc.alias("auc"), "log_loss")
+    plain = df.agg(F.avg(((F.col(score) >= cut).cast("int") == F.col(y)).cast("double")).alias("accuracy"), F.sum(F.col(y).cast("double")).alias("n1"), F.sum((1 - F.col(y)).cast("double")).alias("n0"), F.avg(loss).alias("log_loss"))
+    counts = df.filter(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(y).cast("long")).alias("_p"))
+    at = running_sums(counts, [F.col("_s").desc()], {"_n": "_above", "_p": "_hits"})
+    # Of the rows at a score, their ones beat all zeros below and half of those at the score.
+    sums = at.crossJoin(F.broadcast(plain)).agg(
+        F.sum(F.col("_p") * (F.col("n0") - (F.col("_above") - F.col("_hits")) - (F.col("_n") - F.col("_p")) / 2.0)).alias("won"),
+        F.sum(F.col("_p") / F.col("n1") * (F.col("_hits") + F.col("_p")) / (F.col("_above") + F.col("_n"))).alias("pr_auc"),
+    )
+    out = plain.crossJoin(F.broadcast(sums))
+    return out.select("accuracy", (F.col("won") / F.nullif(F.col("n1") * F.col("n0"), F.lit(0.0))).alias("auc"), "log_loss", "pr_auc")
+
+
+def cross_entropy(label: Column, shares: Column) -> Column:
+    """Minus the logarithm of the share that an array gives the label, classes from 0; the loss is its mean."""
+    return -F.log(F.greatest(F.element_at(shares, label.cast("int") + 1), F.lit(1e-15)))
 
 
 def multitask(df: DataFrame, targets: dict[str, str], pred: str) -> DataFrame:
@@ -82,6 +105,20 @@ def soft_ranks(df: DataFrame, key: str, value: str, scale: float, size: int = 20
     return part.select(F.col("_own.k").alias(key), rank.alias("soft_rank"))
 
 
+def soft_spearman(df: DataFrame, key: str, a: str, b: str, scale: float, size: int = 200) -> DataFrame:
+    """(batch, rho, n): the correlation of a batch's soft ranks of two columns."""
+    ra, rb = soft_ranks(df, key, a, scale, size), soft_ranks(df, key, b, scale, size)
+    both = ra.join(rb.withColumnRenamed("soft_rank", "_b"), key)
+    return both.groupBy(F.floor(F.col(key) / size).alias("batch")).agg(F.corr("soft_rank", "_b").alias("rho"), F.count(F.lit(1)).alias("n"))
+
+
+def ranking_loss(df: DataFrame, key: str, y: str, mu: str, var: str, scale: float, size: int = 200, weight: float = 0.1) -> DataFrame:
+    """(batch, loss): the mean Gaussian loss of a batch plus `weight` times one minus its soft rank correlation."""
+    rho = soft_spearman(df, key, mu, y, scale, size)
+    nll = df.groupBy(F.floor(F.col(key) / size).alias("batch")).agg(F.avg(gaussian_nll(F.col(y), F.col(mu), F.col(var))).alias("_nll"))
+    return nll.join(rho, "batch").select("batch", (F.col("_nll") + weight * (1.0 - F.col("rho"))).alias("loss"))
+
+
 def scaler(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row with <c>_mean and <c>_std (population) of each column; a missing mean is 0, a missing or zero deviation 1."""
     aggs = []
@@ -99,6 +136,14 @@ def standardise(df: DataFrame, columns: list[str], fill: float = 0.0) -> DataFra
     return out.drop(*[f"{c}_{k}" for c in columns for k in ("mean", "std")])
 
 
+def unscaled(df: DataFrame, scales: DataFrame, columns: list[str]) -> DataFrame:
+    """The inverse of standardise: <c>_back from <c>_z and one row of scaler()."""
+    out = df.crossJoin(F.broadcast(scales))
+    for c in columns:
+        out = out.withColumn(f"{c}_back", F.col(f"{c}_z") * F.col(f"{c}_std") + F.col(f"{c}_mean"))
+    return out.drop(*scales.columns)
+
+
 def quality_rules(df: DataFrame, id_col: str, targets: dict[str, str], binary: bool = True) -> DataFrame:
     """(rule, violations) of a target table."""
     bad = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")

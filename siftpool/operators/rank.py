@@ -24,22 +24,46 @@ def global_rank(df: DataFrame, order: list[Column], out: str = "rank", start: in
     return ranged.withColumn("_local", local).join(F.broadcast(before), "_part").withColumn(out, (F.col("_local") + F.col("_before") + (start - 1)).cast("long")).drop("_part", "_local", "_before")
 
 
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """df with, for each (column: name) of sums, the sum of the column over all rows before this one in the whole table's order.
+
+    As global_rank: ranges are summed alone and moved on by the ranges before
+    them. `order` must be unique.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_s_{n}") for c, n in sums.items()])
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("a._part") > F.col("b._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(*[F.coalesce(F.sum(f"b._s_{n}"), F.lit(0)).alias(f"_b_{n}") for n in sums.values()])
+    ahead = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(before), "_part")
+    for c, n in sums.items():
+        out = out.withColumn(n, F.coalesce(F.sum(c).over(ahead), F.lit(0)) + F.col(f"_b_{n}"))
+    return out.drop("_part", *[f"_b_{n}" for n in sums.values()])
+
+
+def ranks(df: DataFrame, rankers: list[str], key: str) -> DataFrame:
+    """(key, _r0, _r1, ...): each row's descending rank under every ranker; only keys and values are sorted."""
+    out = None
+    for i, r in enumerate(rankers):
+        one = global_rank(df.select(key, r), [F.col(r).desc(), F.col(key)], f"_r{i}").select(key, f"_r{i}")
+        out = one if out is None else out.join(one, key)
+    return out
+
+
 def borda(df: DataFrame, rankers: list[str], key: str = "row_idx", weights: list[float] | None = None, chunk: int | None = None, out: str = "mu") -> DataFrame:
     """Rank fusion: minus the weighted sum of each row's descending rank under every ranker.
 
     Weights are scaled to a sum of 1; without weights ranks are summed plainly.
     With `chunk`, ranks are taken inside runs of so many rows by `key` order.
     """
-    ranked = df
     names = [f"_r{i}" for i in range(len(rankers))]
     if chunk:
-        ranked = global_rank(ranked, [F.col(key)], "_at", start=0).withColumn("_chunk", F.floor(F.col("_at") / F.lit(float(chunk))).cast("long"))
+        ranked = global_rank(df, [F.col(key)], "_at", start=0).withColumn("_chunk", F.floor(F.col("_at") / F.lit(float(chunk))).cast("long"))
         for r, n in zip(rankers, names, strict=True):
             ranked = ranked.withColumn(n, F.row_number().over(Window.partitionBy("_chunk").orderBy(F.col(r).desc(), F.col(key))).cast("long"))
         ranked = ranked.drop("_at", "_chunk")
     else:
-        for r, n in zip(rankers, names, strict=True):
-            ranked = global_rank(ranked, [F.col(r).desc(), F.col(key)], n)
+        ranked = df.join(ranks(df, rankers, key), key)
     total = F.lit(0)
     for i, n in enumerate(names):
         total = total + (F.col(n) if weights is None else F.col(n) * F.lit(weights[i] / sum(weights)))
@@ -49,9 +73,7 @@ def borda(df: DataFrame, rankers: list[str], key: str = "row_idx", weights: list
 def rank_disagreement(df: DataFrame, rankers: list[str], key: str = "row_idx", beta: float = 0.2, out: str = "u") -> DataFrame:
     """Minus the mean of the normalised ranks plus beta times their deviation: an upper bound from disagreement."""
     n = df.count()
-    ranked, names = df, [f"_r{i}" for i in range(len(rankers))]
-    for r, name in zip(rankers, names, strict=True):
-        ranked = global_rank(ranked, [F.col(r).desc(), F.col(key)], name)
+    ranked, names = df.join(ranks(df, rankers, key), key), [f"_r{i}" for i in range(len(rankers))]
     parts = [F.col(c) / F.lit(float(n)) for c in names]
     mean = sum(parts[1:], parts[0]) / float(len(parts))
     spread = F.sqrt(sum(((p - mean) * (p - mean) for p in parts[1:]), (parts[0] - mean) * (parts[0] - mean)) / float(len(parts)))

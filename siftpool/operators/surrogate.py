@@ -135,7 +135,7 @@ def bagged(df: DataFrame, key: str, xs: list[str], y: str, members: int = 5) ->
     """df with mu and var over lines fitted to random halves of the rows."""
     outs = []
     for m in range(members):
-        part = df.filter(hash_uniform(F.col(key) * members + m, m % 2) < 0.5)
+        part = df.filter(hash_uniform(F.col(key), m) < 0.5)
         outs.append(linear(xs, fit_ridge(part, xs, y)))
     mean = sum(outs[1:], outs[0]) / float(members)
     out = df.withColumn("mu", mean)
@@ -185,10 +185,88 @@ def centroids(df: DataFrame, group: str, vector: str, dim: int) -> DataFrame:
 
 
 def assign(df: DataFrame, centres: DataFrame, key: str, vector: str, group: str) -> DataFrame:
-    """(key, group, d2): the nearest centre of each row; centres have a row for each of a bounded number of groups."""
+    """(key, group, d2): the nearest centre of each row, the least group of equally near ones; no row is moved.
+
+    centres have a row for each of a bounded number of groups and go to all tasks
+    as one array.
+    """
     from siftpool.functions.vector import squared_distance
 
-    d = squared_distance(F.transform(vector, lambda v: v.cast("double")), F.col("centroid"))
-    pairs = df.select(key, vector).crossJoin(F.broadcast(centres.select(F.col(group).alias("_g"), "centroid"))).select(key, F.struct(F.round(d, 9).alias("d2"), F.col("_g").alias("g")).alias("m"))
-    near = pairs.groupBy(key).agg(F.min("m").alias("m"))
-    return near.select(key, F.col("m.g").alias(group), F.col("m.d2").alias("d2"))
+    held = centres.agg(F.sort_array(F.collect_list(F.struct(F.col(group).alias("g"), "centroid"))).alias("_centres"))
+    own = F.transform(vector, lambda v: v.cast("double"))
+    near = F.array_min(F.transform("_centres", lambda c: F.struct(F.round(squared_distance(own, c["centroid"]), 9).alias("d2"), c["g"].alias("g"))))
+    return df.select(key, vector).crossJoin(F.broadcast(held)).withColumn("_m", near).select(key, F.col("_m.g").alias(group), F.col("_m.d2").alias("d2"))
+
+
+#: The grid of ridge penalties of learned fusion.
+ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
+
+
+def ridge_cv(df: DataFrame, xs: list[str], y: str, alphas: tuple[float, ...] = ALPHAS) -> tuple[np.ndarray, float]:
+    """Weights with the intercept first, and the penalty with the least mean squared leave-one-out error.
+
+    Two passes over df: sums of products, then every penalty's errors at once,
+    each from a row's residual and leverage.
+    """
+    sums = normal_sums(df, xs, y).first().asDict()
+    if not sums["n"]:
+        return np.zeros(len(xs) + 1), alphas[0]
+    p, n = len(xs), float(sums["n"])
+    mean = np.array([sums[f"s_{i}"] for i in range(p)]) / n
+    cover = np.array([[sums[f"s_{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) - n * np.outer(mean, mean)
+    errors = []
+    for k, alpha in enumerate(alphas):
+        inverse = np.linalg.pinv(cover + alpha * np.eye(p))
+        off = [F.col(x).cast("double") - float(m) for x, m in zip(xs, mean, strict=True)]
+        leverage = F.lit(1.0 / n)
+        for i in range(p):
+            for j in range(p):
+                leverage = leverage + off[i] * off[j] * float(inverse[i, j])
+        left = (F.col(y) - linear(xs, solve(sums, p, alpha))) / (1.0 - leverage)
+        errors.append(F.avg(left * left).alias(f"e{k}"))
+    found = df.agg(*errors).first()
+    best = min(range(len(alphas)), key=lambda k: (np.inf if found[k] is None else found[k], k))
+    return solve(sums, p, alphas[best]), alphas[best]
+
+
+def stack_cv(df: DataFrame, train: Column, xs: list[str], y: str, out: str = "mu") -> DataFrame:
+    """Learned fusion with the penalty chosen from ALPHAS on the rows marked by `train`; without such rows the members' mean."""
+    rows = df.filter(train)
+    if rows.isEmpty():
+        return stack(df, train, xs, y, out=out)
+    return df.withColumn(out, linear(xs, ridge_cv(rows, xs, y)[0])).withColumn("var", F.lit(0.0))
+
+
+def stack_out_of_fold(df: DataFrame, fold: str, k: int, xs: list[str], y: str, ridge: float = 0.0, out: str = "mu") -> DataFrame:
+    """Out-of-fold stacking: one line for each member; the fusion learns from their out-of-fold predictions; the lines are then fitted to all rows."""
+    inner = df
+    for i, x in enumerate(xs):
+        inner = out_of_fold(inner, fold, k, x, y, f"_o{i}")
+    weights = fit_ridge(inner, [f"_o{i}" for i in range(len(xs))], y, ridge)
+    full = df
+    for i, x in enumerate(xs):
+        full = full.withColumn(f"_f{i}", linear([x], fit_ridge(df, [x], y)))
+    return full.withColumn(out, linear([f"_f{i}" for i in range(len(xs))], weights)).withColumn("var", F.lit(0.0)).drop(*[f"_f{i}" for i in range(len(xs))])
+
+
+def fuse_softmax(df: DataFrame, xs: list[str], logits: list[float], out: str = "mu") -> DataFrame:
+    """Members' means weighed by the softmax of fixed logits."""
+    shares = np.exp(np.array(logits) - max(logits))
+    shares /= shares.sum()
+    return df.withColumn(out, sum((F.col(x) * float(s) for x, s in zip(xs[1:], shares[1:], strict=True)), F.col(xs[0]) * float(shares[0])))
+
+
+def random_model(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """df with mu and var drawn from [0, 1): the model that knows nothing."""
+    return df.withColumn("mu", hash_uniform(F.col(key), seed)).withColumn("var", hash_uniform(F.col(key), seed + 1))
+
+
+#: Models by name, and whether they give variances.
+MODELS: dict[str, tuple[Callable, bool]] = {"random": (random_model, True), "rf": (forest, True), "gbt": (boosted, False), "ridge": (ridge_vectors, True), "bagged": (bagged, True), "fusion": (stack_cv, False), "oof": (stack_out_of_fold, False)}
+
+
+def model(name: str) -> Callable:
+    """The model's function; ValueError for an unknown name."""
+    if name not in MODELS:
+        raise ValueError(f"unknown model {name!r}; known: {sorted(MODELS)}")
+    return MODELS[name][0]

@@ -114,6 +114,34 @@ def select_epsilon_greedy(spark: SparkSession, d: str) -> DataFrame:
     return select.top(left, "u", BATCH, F.col("row_idx")).select("row_idx", (F.col("u") == float("inf")).alias("by_chance"))
 
 
+@query(f"""WITH {v.POOL}, {v.PREDS}, e AS (SELECT row_idx, CASE WHEN row_idx % 7 <> 0 THEN mu END AS score FROM preds WHERE {v.U} < 0.05),
+best AS (SELECT min(score) AS best FROM (SELECT score FROM e WHERE score IS NOT NULL ORDER BY score DESC LIMIT 3)),
+g AS (SELECT row_idx, mu, var, mu - best + 0.01 AS gain, CASE WHEN var > 0 THEN sqrt(var) END AS sd FROM preds, best),
+drawn AS (SELECT row_idx FROM preds ORDER BY {v.u(4)} DESC, row_idx LIMIT 10),
+s AS (SELECT row_idx, mu, row_idx IN (SELECT row_idx FROM drawn) AS by_chance, CASE WHEN var > 0 THEN gain * {v.phi('(gain / sd)')} + sd * exp(-(gain / sd) * (gain / sd) / 2.0) / sqrt(2 * pi()) ELSE gain END AS u FROM g WHERE row_idx NOT IN (SELECT row_idx FROM e))
+SELECT row_idx, round(mu, 6) AS mu, CASE WHEN by_chance THEN -1.0 ELSE round(u, 5) END AS u FROM s ORDER BY by_chance DESC, CASE WHEN by_chance THEN 0 ELSE s.u END DESC, row_idx LIMIT {BATCH}""")
+def acquire_batch_ei(spark: SparkSession, d: str) -> DataFrame:
+    """A whole batch in round 4: expected improvement over the third best explored score, a fifth by chance, explored rows left out."""
+    preds = v.preds(spark, d)
+    seen = preds.filter(v.is_explored()).select("row_idx", F.when(F.col("row_idx") % 7 != 0, F.col("mu")).alias("score"))
+    out = select.acquire_batch(preds, seen, "ei", 3, BATCH, 0.2, seed=4)
+    return out.select("row_idx", F.round("mu", 6).alias("mu"), F.when(F.col("u") == float("inf"), -1.0).otherwise(F.round("u", 5)).alias("u"))
+
+
+@query(f"WITH {v.PREDS} SELECT row_idx, round({v.u(1)}, 9) AS first, round({v.u(2)}, 9) AS second FROM preds")
+def seeded_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """The random function in two rounds."""
+    a, b = (acquire.utility("random", v.preds(spark, d), seed=s).select("row_idx", F.round("u", 9).alias(n)) for s, n in ((1, "first"), (2, "second")))
+    return a.join(b, "row_idx")
+
+
+@query(f"WITH {v.POOL}, {v.EXPLORED}, u AS (SELECT * FROM pool WHERE id IN (SELECT id FROM explored)) SELECT row_idx, id FROM u ORDER BY {v.u(5)} DESC, row_idx LIMIT {BATCH}")
+def initial_usable(spark: SparkSession, d: str) -> DataFrame:
+    """The first draw among rows that have a label."""
+    usable = v.pool(spark, d).join(v.explored(spark, d).select("id").distinct(), "id", "left_semi").withColumn("mu", F.lit(0.0))
+    return select.top(acquire.utility("random", usable, seed=5), "u", BATCH, F.col("row_idx")).select("row_idx", "id")
+
+
 @query(f"WITH {v.POOL} SELECT row_idx, id FROM pool ORDER BY {v.U} DESC, row_idx LIMIT {BATCH}")
 def initial_random(spark: SparkSession, d: str) -> DataFrame:
     return select.top(acquire.utility("random", v.pool(spark, d).withColumn("mu", F.lit(0.0))), "u", BATCH, F.col("row_idx")).select("row_idx", "id")
@@ -214,7 +242,8 @@ def pool_slices(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {v.POOL} SELECT row_idx, id FROM pool WHERE row_idx IN (5, 17, 3, 90)")
 def pool_gather(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(5,), (17,), (3,), (90,), (5,)], "row_idx long")
-    return select.gather(v.pool(spark, d).select("row_idx", "id"), rows, 10**12)
+    pool = v.pool(spark, d).select("row_idx", "id")
+    return select.gather(pool, rows, pool.agg(F.max("row_idx")).first()[0] + 1)
 
 
 @query(f"""WITH {v.POOL}, {v.EXPLORED}, fresh AS (SELECT id, max(score) AS score FROM explored GROUP BY id),

@@ -130,15 +130,18 @@ def split_class_balanced(spark: SparkSession, d: str) -> DataFrame:
     return split.class_balanced(rows, F.col("toxic") == 1, "row_idx").select("row_idx", "toxic", F.col("place").cast("long"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '\\[[^\\]]+\\]|[A-Za-z][a-z]?|[0-9]|[^A-Za-z0-9\\s]')) AS n, regexp_extract_all(text, '\\[[^\\]]+\\]|[A-Za-z][a-z]?|[0-9]|[^A-Za-z0-9\\s]')[1] AS first FROM documents")
+@query("SELECT doc_id, len(regexp_extract_all(text, '\\[[^\\]]+\\]|[A-Za-z][a-z]?|[0-9]|[^A-Za-z0-9\\s]')) AS n, md5(array_to_string(regexp_extract_all(text, '\\[[^\\]]+\\]|[A-Za-z][a-z]?|[0-9]|[^A-Za-z0-9\\s]'), ' ')) AS digest FROM documents")
 def seq_tokens(spark: SparkSession, d: str) -> DataFrame:
     found = text.tokens(F.col("text"))
-    return v.table(spark, d, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.try_element_at(found, F.lit(1)).alias("first"))
+    return v.table(spark, d, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.md5(F.array_join(found, " ")).alias("digest"))
 
 
-@query("SELECT page_id, url AS id FROM pages")
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN url || '|kept|' ELSE url END AS id FROM pages")
 def suffix_strip(spark: SparkSession, d: str) -> DataFrame:
-    return v.table(spark, d, "pages").select("page_id", text.strip_suffix(F.concat("url", F.lit(" |ext,1|"))).alias("id"))
+    """An extension goes, with what follows it; bars without a space in front stay; other rows are untouched."""
+    kind = F.col("page_id") % 3
+    given = F.concat("url", F.when(kind == 0, F.lit(" |ext,1| tail |x|")).when(kind == 1, F.lit("|kept|")).otherwise(F.lit("")))
+    return v.table(spark, d, "pages").select("page_id", text.strip_suffix(given).alias("id"))
 
 
 @query("SELECT doc_id, CAST(coalesce(lang = 'en', false) AS INTEGER) AS h1, CAST(coalesce(lang = 'de', false) AS INTEGER) AS h2, CAST(NOT coalesce(lang IN ('en', 'de'), false) AS INTEGER) AS h3 FROM documents")
@@ -153,13 +156,13 @@ def distribute_flatten(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_quantity) AS q FROM lineitem GROUP BY l_orderkey), s AS (SELECT CAST(ceil((max(len(q)) + 1) / 4.0) * 4 - 1 AS BIGINT) AS w FROM o)
-SELECT l_orderkey, w AS width, round(q[1], 6) AS head, CASE WHEN len(q) < w THEN 0.0 ELSE q[-1] END AS tail FROM o, s""")
+SELECT l_orderkey, w AS width, round(list_sum(list_transform(range(1, len(q) + 1), lambda i: q[i] * i)), 4) AS mix, CASE WHEN len(q) < w THEN 0.0 ELSE q[-1] END AS tail FROM o, s""")
 def pad_collate(spark: SparkSession, d: str) -> DataFrame:
     pair = F.struct("l_linenumber", "l_quantity")
     orders = v.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["l_quantity"]).alias("q"))
     width = orders.agg(vector.padded_size(F.max(F.size("q"))).cast("long").alias("width"))
     padded = orders.crossJoin(F.broadcast(width)).withColumn("p", vector.pad(F.col("q"), F.col("width")))
-    return padded.select("l_orderkey", "width", F.round(F.element_at("p", 1), 6).alias("head"), F.element_at("p", -1).alias("tail"))
+    return padded.select("l_orderkey", "width", F.round(vector.dot(F.col("p"), F.sequence(F.lit(1), F.size("p"))), 4).alias("mix"), F.element_at("p", -1).alias("tail"))
 
 
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * b.embedding[i]))"
@@ -174,22 +177,22 @@ def vec_dot_cosine(spark: SparkSession, d: str) -> DataFrame:
     return e.crossJoin(F.broadcast(one)).select("vec_id", F.round(vector.dot(a, b), 4).alias("dot"), F.round(vector.cosine(a, b), 5).alias("cosine"))
 
 
-@query("SELECT vec_id, len(list_concat(embedding, embedding[1:16])) AS dim, round(CAST(embedding[1] AS DOUBLE), 6) AS x65, round(CAST(embedding[16] AS DOUBLE), 6) AS x80 FROM embeddings")
+@query("SELECT vec_id, len(list_concat(embedding, embedding[1:16])) AS dim, round(list_sum(list_transform(range(1, 81), lambda i: CAST(list_concat(embedding, embedding[1:16])[i] AS DOUBLE) * i)), 4) AS mix FROM embeddings")
 def vec_concat(spark: SparkSession, d: str) -> DataFrame:
     whole = vector.concat(F.col("embedding"), F.slice("embedding", 1, 16))
-    return v.table(spark, d, "embeddings").select("vec_id", F.size(whole).cast("long").alias("dim"), F.round(F.element_at(whole, 65).cast("double"), 6).alias("x65"), F.round(F.element_at(whole, 80).cast("double"), 6).alias("x80"))
+    return v.table(spark, d, "embeddings").select("vec_id", F.size(whole).cast("long").alias("dim"), F.round(vector.dot(whole, F.sequence(F.lit(1), F.size(whole))), 4).alias("mix"))
 
 
-@query("SELECT vec_id, 24 AS n_a, 40 AS n_b, round(CAST(embedding[24] AS DOUBLE), 6) AS last_a, round(CAST(embedding[25] AS DOUBLE), 6) AS first_b FROM embeddings")
+@query("SELECT vec_id, 24 AS n_a, 40 AS n_b, round(list_sum(list_transform(range(1, 25), lambda i: CAST(embedding[i] AS DOUBLE) * i)), 4) AS mix_a, round(list_sum(list_transform(range(1, 41), lambda i: CAST(embedding[24 + i] AS DOUBLE) * i)), 4) AS mix_b FROM embeddings")
 def vec_split(spark: SparkSession, d: str) -> DataFrame:
     a, b = vector.split(F.col("embedding"), [24, 40])
-    return v.table(spark, d, "embeddings").select("vec_id", F.size(a).alias("n_a"), F.size(b).alias("n_b"), F.round(F.element_at(a, 24).cast("double"), 6).alias("last_a"), F.round(F.element_at(b, 1).cast("double"), 6).alias("first_b"))
+    return v.table(spark, d, "embeddings").select("vec_id", F.size(a).alias("n_a"), F.size(b).alias("n_b"), *[F.round(vector.dot(p, F.sequence(F.lit(1), F.size(p))), 4).alias(f"mix_{n}") for p, n in ((a, "a"), (b, "b"))])
 
 
-@query("SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) * exp(1.0) / (exp(1.0) + exp(0.0)), 6) AS x1, round(CAST(embedding[33] AS DOUBLE) * exp(0.0) / (exp(1.0) + exp(0.0)), 6) AS x33 FROM embeddings")
+@query("SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: i * CAST(embedding[i] AS DOUBLE) * CASE WHEN i <= 32 THEN exp(1.0) ELSE 1.0 END / (exp(1.0) + 1))), 4) AS mix FROM embeddings")
 def vec_softmax_concat(spark: SparkSession, d: str) -> DataFrame:
     whole = vector.softmax_concat([1.0, 0.0], vector.split(F.col("embedding"), [32, 32]))
-    return v.table(spark, d, "embeddings").select("vec_id", F.round(F.element_at(whole, 1), 6).alias("x1"), F.round(F.element_at(whole, 33), 6).alias("x33"))
+    return v.table(spark, d, "embeddings").select("vec_id", F.round(vector.dot(whole, F.sequence(F.lit(1), F.lit(64))), 4).alias("mix"))
 
 
 _EDGES = "e AS (SELECT DISTINCT r AS graph_id, a AS src, b AS dst FROM (SELECT n_regionkey AS r, n_nationkey AS a, lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS b FROM nation) WHERE b IS NOT NULL AND a % 7 <> 3), g AS (SELECT graph_id, src, dst FROM e UNION SELECT graph_id, dst, src FROM e), x AS (SELECT n_regionkey AS graph_id, n_nationkey AS v FROM nation)"
@@ -215,10 +218,10 @@ def graph_neighbour_sum(spark: SparkSession, d: str) -> DataFrame:
     return graph.neighbour_sum(edges, vertices.withColumn("x", F.col("v").cast("double")))
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, p AS (SELECT graph_id, v AS src, v AS dst, 0 AS hops FROM x UNION SELECT p.graph_id, p.src, g.dst, p.hops + 1 FROM p JOIN g ON g.graph_id = p.graph_id AND g.src = p.dst WHERE p.hops < 6)
+@query(f"""WITH RECURSIVE {_EDGES}, p AS (SELECT graph_id, v AS src, v AS dst, 0 AS hops FROM x UNION SELECT p.graph_id, p.src, g.dst, p.hops + 1 FROM p JOIN g ON g.graph_id = p.graph_id AND g.src = p.dst WHERE p.hops < (SELECT count(*) FROM x))
 SELECT graph_id, src, dst, min(hops) AS hops FROM p GROUP BY ALL""")
 def graph_shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    return graph.shortest_paths(*_graph(spark, d), most=6)
+    return graph.shortest_paths(*_graph(spark, d))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, max(value) AS best FROM events GROUP BY ALL")

@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from siftpool.functions.math import hash_uniform
 
-U = "CAST(((row_idx % 2147483648) * 1103515245 + 12345) % 2147483648 AS DOUBLE) / CAST(2147483648 AS DOUBLE)"
-V = "CAST(((row_idx % 2147483648) * 69069 + 1) % 2147483648 AS DOUBLE) / CAST(2147483648 AS DOUBLE)"
-NORMAL = f"(sqrt(-2.0 * ln(1.0 - {U})) * cos(2 * pi() * {V}))"
+
+
+def u(seed: int = 0, first: int = 1) -> str:
+    """The uniform draw of row_idx in SQL, as functions.math has it."""
+    return f"(CAST('0x' || substr(md5(CAST(row_idx AS VARCHAR) || '/{seed}'), {first}, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"
+
+
+U = u()
+NORMAL = f"(sqrt(-2.0 * ln(1.0 - {U})) * cos(2 * pi() * {u(0, 14)}))"
 
 POOL = "pool AS (SELECT p_partkey AS row_idx, p_name AS id, p_retailprice AS score, p_brand AS stratum FROM part)"
 PREDS = """preds AS (
