@@ -253,3 +253,157 @@ def test_tree_queries_have_the_references_size(spark, monkeypatch):
     learning.rf_mean_var(spark, "/root/testdata/sf0.001")
     learning.boosted_mean(spark, "/root/testdata/sf0.001")
     assert took == [{"trees": 100, "depth": 8}, {"rounds": 100}]
+
+
+def test_draws_are_normal_uniform_and_seeded(spark):
+    for n in (200, 20_000):
+        rows = spark.range(1, n + 1).select(*[fm.hash_normal(F.col("id"), s).alias(f"z{s}") for s in (0, 1)], *[fm.hash_uniform(F.col("id"), s).alias(f"u{s}") for s in (0, 1)]).toPandas()
+        wide = 4 / math.sqrt(n)
+        for s in (0, 1):
+            z, u = rows[f"z{s}"], rows[f"u{s}"]
+            assert abs(z.mean()) < wide and abs(z.std() - 1) < wide and abs(u.mean() - 0.5) < wide and abs(u.std() - math.sqrt(1 / 12)) < wide
+            assert abs(z.autocorr(1)) < wide and abs(u.autocorr(1)) < wide
+        assert abs(rows["z0"].corr(rows["z1"])) < wide and abs(rows["u0"].corr(rows["u1"])) < wide
+
+
+def test_rounds_draw_other_rows(spark, preds):
+    u = acquire.utility("greedy", preds)
+    drawn = [values(select.epsilon_greedy(u, 10, 0.5, 20, seed=s).filter(F.col("u") == float("inf")), "row_idx") for s in range(4)]
+    assert len({tuple(d) for d in drawn}) == 4 and all(len(d) == 5 for d in drawn)
+    assert values(acquire.utility("thompson", preds, seed=1), "u") != values(acquire.utility("thompson", preds, seed=2), "u")
+    splits = [values(split.random_split(preds, "row_idx", seed=s), "row_idx", "split") for s in (0, 1)]
+    assert splits[0] != splits[1]
+    seen = preds.filter("row_idx < 4").select("row_idx", F.col("mu").alias("score"))
+    batch = select.acquire_batch(preds, seen, "greedy", 2, 6, 0.5, seed=3).collect()
+    assert len(batch) == 6 and all(r["row_idx"] >= 4 for r in batch)
+    nothing = select.acquire_batch(preds, seen.limit(0), "ei", 2, 3)
+    assert nothing.count() == 3
+
+
+def test_shortest_paths_of_a_long_path(spark):
+    edges = [(0, i, i + 1) for i in range(39)] + [(1, 0, 1), (1, 1, 2), (1, 2, 0)]
+    vertices = [(0, i) for i in range(40)] + [(1, i) for i in range(4)]
+    got = graph.shortest_paths(spark.createDataFrame(edges, "graph_id int, src int, dst int"), spark.createDataFrame(vertices, "graph_id int, v int"))
+    expected = {(0, i, j, abs(i - j)) for i in range(40) for j in range(40)} | {(1, i, j, int(i != j)) for i in range(3) for j in range(3)} | {(1, 3, 3, 0)}
+    assert set(map(tuple, got.collect())) == expected
+
+
+def test_quotas_of_a_large_stratum(spark):
+    df = spark.range(3000).select(F.col("id").alias("row_idx"), F.when(F.col("id") % 3 > 0, 1).otherwise(2).alias("s"), (F.col("id") * 37 % 3001).cast("double").alias("m"))
+    got = values(select.decayed_quota(df, "s", "m", 150, 1e9), "s", "row_idx")
+    for s in (1, 2):
+        best = sorted(((-r["m"], r["row_idx"]) for r in df.filter(F.col("s") == s).collect()))[:150]
+        assert [i for g, i in got if g == s] == sorted(i for _, i in best)
+
+
+def test_slices_and_points(spark):
+    pool = spark.range(23).withColumnRenamed("id", "row_idx")
+    for bounds in ((None, None, 1), (-5, None, 1), (3, -3, 4), (None, None, -1), (-2, 4, -3), (30, 40, 1), (9, 2, 1)):
+        got = [r["row_idx"] for r in select.python_slice(pool, 23, *bounds).orderBy("place").collect()]
+        assert got == list(range(23))[slice(*bounds)], bounds
+    assert select.at(pool, -1, 23).first()["row_idx"] == 22
+    for row in (23, -24):
+        with pytest.raises(IndexError):
+            select.at(pool, row, 23)
+
+
+def test_vector_files_and_snapshots(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    parts = [rng.normal(size=(n, 3)).astype(np.float32) for n in (4, 0, 2)]
+    for i, p in enumerate(parts):
+        np.save(tmp_path / f"chunk_{i}.npy", p)
+    np.savez(tmp_path / "all.npz", embeddings=np.concatenate(parts), smiles=np.array(list("abcdef")))
+    for path, count in ((f"{tmp_path}/chunk_*.npy", 2), (f"{tmp_path}/all.npz", 1)):
+        rows = ingest.read_vectors(spark, path).orderBy("file", "place").collect()
+        assert np.allclose([r["vector"] for r in rows], np.concatenate(parts)) and len({r["file"] for r in rows}) == count
+    root, df = str(tmp_path / "cache"), spark.range(3)
+    df.write.parquet(str(tmp_path / "round"))
+    assert sinks.load_snapshot(spark, root, str(tmp_path / "round")).count() == 3
+    for n in (5, 7):
+        sinks.save_snapshot(spark.range(n), root)
+        assert sinks.load_snapshot(spark, root, str(tmp_path / "round")).count() == n
+    assert sinks.prepare(spark, str(tmp_path / "t"), 6, 3) and not sinks.prepare(spark, str(tmp_path / "t"), 6, 3)
+    with pytest.raises(ValueError):
+        sinks.prepare(spark, str(tmp_path / "t"), 6, 4)
+    chunk = spark.createDataFrame([(2, [1.0, 2.0]), (3, [0.0, 0.0])], "row_idx long, vector array<float>")
+    sinks.write_slice(chunk, str(tmp_path / "t"), 1, 2, 4, 2)
+    for start, end, dim in ((2, 5, 2), (1, 3, 2), (2, 4, 3)):
+        with pytest.raises(ValueError):
+            sinks.write_slice(chunk, str(tmp_path / "t"), 1, start, end, dim)
+
+
+def test_tables_of_libraries(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x;A\ny;B\nz;\nw;D\n")
+    bad = spark.createDataFrame([(1,)], "row_idx long")
+    got = ingest.read_pool(spark, str(tmp_path / "a.csv"), sep=";", title=False, ordinal=1, invalid=bad)
+    assert values(got, "row_idx", "id") == [(0, "A"), (3, "D")]
+    (tmp_path / "b.txt").write_text("p\n\nq\n")
+    (tmp_path / "c.csv").write_text("SMILES,n\np,1\n,2\n")
+    assert ingest.count_rows(spark, str(tmp_path / "b.txt")) == 3 and ingest.count_rows(spark, str(tmp_path / "c.csv")) == 1
+    assert values(ingest.from_ids(spark, ["a", None, "b"]), "row_idx", "id") == [(0, "a"), (2, "b")]
+    wide = spark.range(1000, numPartitions=7)
+    assert all(r["id"] == r["row_idx"] for r in ingest.with_row_idx(wide).collect())
+    ingest.must_have(spark.range(1).withColumn("extra_a", F.lit(1)), ["id"], ("extra_",))
+    for required, allowed in ((["id", "x"], ()), (["id"], ("other",))):
+        with pytest.raises(ValueError):
+            ingest.must_have(spark.range(1).withColumn("extra_a", F.lit(1)), required, allowed)
+    ids = spark.createDataFrame([(1, 2), (2, 1)], "k long, size int")
+    arrays = spark.createDataFrame([(1, 0, [1.0, 2.0, 3.0]), (2, 0, [float("nan"), 1.0])], "k long, at int, v array<double>")
+    with pytest.raises(ValueError):
+        ingest.align_arrays(ids, arrays, "k", "at", "v", "size")
+    with pytest.raises(ValueError):
+        ingest.align_arrays(ids, arrays.filter("k = 1"), "k", "at", "v", "size")
+
+
+def test_shards_and_stitches_refuse_holes(spark):
+    spine = spark.range(6).select(F.col("id").alias("k"), (F.col("id") / 2).cast("int").alias("s"))
+    parts = spine.select("k", F.lit(1.5).alias("mu"))
+    assert values(align.gather_shards(spine, parts.filter("k < 4"), "k", "mu", "s", [2]), "k", "mu") == [(i, 1.5 if i < 4 else 0.0) for i in range(6)]
+    for wrong in (parts.filter("k != 1"), parts.unionByName(parts.limit(1))):
+        with pytest.raises(ValueError):
+            align.gather_shards(spine, wrong, "k", "mu", "s")
+    vectors = spine.select("k", F.array(F.lit(1.0).cast("float")).alias("v"))
+    with pytest.raises(ValueError):
+        align.resume_stitch(spine, vectors.filter("k < 2"), vectors.filter("k = 3"), "s", "k", "v", 1)
+
+
+def test_ridge_penalty_by_leave_one_out(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(30, 3))
+    y = x @ [1.0, -2.0, 0.5] + rng.normal(size=30)
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, y double")
+    errors = []
+    for alpha in surrogate.ALPHAS:
+        left = []
+        for i in range(30):
+            keep = np.arange(30) != i
+            m, n = x[keep].mean(axis=0), y[keep].mean()
+            w = np.linalg.solve((x[keep] - m).T @ (x[keep] - m) + alpha * np.eye(3), (x[keep] - m).T @ (y[keep] - n))
+            left.append(y[i] - n - (x[i] - m) @ w)
+        errors.append(np.mean(np.square(left)))
+    weights, alpha = surrogate.ridge_cv(df, ["a", "b", "c"], "y")
+    assert alpha == surrogate.ALPHAS[int(np.argmin(errors))] and np.isclose(weights[1:], np.linalg.solve((x - x.mean(0)).T @ (x - x.mean(0)) + alpha * np.eye(3), (x - x.mean(0)).T @ (y - y.mean()))).all()
+    with pytest.raises(ValueError):
+        surrogate.model("nothing")
+    assert surrogate.model("oof") is surrogate.stack_out_of_fold
+
+
+def test_loop_stops_at_budget_and_empty_pool(spark):
+    pool = spark.createDataFrame([(i, f"m{i}", float(i), float(i)) for i in range(12)], "row_idx long, id string, score double, x double")
+    first = pool.filter("row_idx < 3")
+    learn = loop.line_surrogate(["x"])
+    assert loop.explore(pool, first, learn, 4, 3, 99, 0.0, 9, budget=8).count() == 8
+    assert loop.explore(pool, first, learn, 8, 3, 99, 0.0, 9).count() == 12
+
+
+def test_tables_go_when_discarded(spark):
+    from siftpool.sources import state
+
+    df = state.materialize(spark.range(3), "t")
+    assert df.count() == 3 and state.exists(spark, df.siftpool_path)
+    state.discard(df, spark.range(1))
+    assert not state.exists(spark, df.siftpool_path)
