@@ -120,6 +120,10 @@ def runs(found: list[tuple[int, int, int, int]], run: int = RUN, least: int = LE
 def cut(text: str, repeated: np.ndarray, **how: int) -> tuple[str, int, int]:
     """The text without units under a run in `repeated` (uint64) or under a later copy of its own run; units and units removed."""
     found = units(text, how.get("unit", UNIT))
+    if not len(repeated):  # a run that the text itself repeats has units that it repeats
+        own = [u[3] for u in found if u[2]]
+        if len(set(own)) == len(own):
+            return text, len(found), 0
     first, end, hashes = runs(found, how.get("run", RUN), how.get("least", LEAST))
     out = np.ones(len(hashes), bool)
     out[np.unique(hashes, return_index=True)[1]] = False
