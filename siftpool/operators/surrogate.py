@@ -24,16 +24,15 @@ def solve(row: dict, p: int, ridge: float = 0.0) -> np.ndarray:
     """Intercept and weights from a row of normal_sums; the intercept is not penalised. Zeros if there are no rows."""
     if not row["n"]:
         return np.zeros(p + 1)
-    a = np.zeros((p + 1, p + 1))
-    b = np.zeros(p + 1)
-    a[0, 0], b[0] = row["n"], row[f"s_{p}"]
-    for i in range(p):
-        a[0, i + 1] = a[i + 1, 0] = row[f"s_{i}"]
-        b[i + 1] = row[f"s_{i}_{p}"]
-        for j in range(i, p):
-            a[i + 1, j + 1] = a[j + 1, i + 1] = row[f"s_{i}_{j}"]
-    a[np.arange(1, p + 1), np.arange(1, p + 1)] += ridge
-    return np.linalg.lstsq(a, b, rcond=None)[0]
+    n = float(row["n"])
+    mean, top = np.array([row[f"s_{i}"] for i in range(p)]) / n, row[f"s_{p}"] / n
+    cover = np.array([[row[f"s_{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]).reshape(p, p) - n * np.outer(mean, mean) + ridge * np.eye(p)
+    slope = np.array([row[f"s_{i}_{p}"] for i in range(p)]) - n * mean * top
+    # Columns of all sizes: the system is solved in units of their own deviations.
+    unit = np.sqrt(np.maximum(np.diag(cover), 0.0))
+    unit[unit == 0] = 1.0
+    w = np.linalg.lstsq(cover / np.outer(unit, unit), slope / unit, rcond=None)[0] / unit
+    return np.append(top - w @ mean, w)
 
 
 def linear(xs: list[str], w: np.ndarray) -> Column:
