@@ -119,13 +119,13 @@ best AS (SELECT min(score) AS best FROM (SELECT score FROM e WHERE score IS NOT
 g AS (SELECT row_idx, mu, var, mu - best + 0.01 AS gain, CASE WHEN var > 0 THEN sqrt(var) END AS sd FROM preds, best),
 drawn AS (SELECT row_idx FROM preds ORDER BY {v.u(4)} DESC, row_idx LIMIT 10),
 s AS (SELECT row_idx, mu, row_idx IN (SELECT row_idx FROM drawn) AS by_chance, CASE WHEN var > 0 THEN gain * {v.phi('(gain / sd)')} + sd * exp(-(gain / sd) * (gain / sd) / 2.0) / sqrt(2 * pi()) ELSE gain END AS u FROM g WHERE row_idx NOT IN (SELECT row_idx FROM e))
-SELECT row_idx, round(mu, 6) AS mu, CASE WHEN by_chance THEN -1.0 ELSE round(u, 5) END AS u FROM s ORDER BY by_chance DESC, CASE WHEN by_chance THEN 0 ELSE s.u END DESC, row_idx LIMIT {BATCH}""")
+SELECT row_idx, mu, CASE WHEN by_chance THEN -1.0 ELSE round(u, 5) END AS u FROM s ORDER BY by_chance DESC, CASE WHEN by_chance THEN 0 ELSE s.u END DESC, row_idx LIMIT {BATCH}""")
 def acquire_batch_ei(spark: SparkSession, d: str) -> DataFrame:
     """A whole batch in round 4: expected improvement over the third best explored score, a fifth by chance, explored rows left out."""
     preds = v.preds(spark, d)
     seen = preds.filter(v.is_explored()).select("row_idx", F.when(F.col("row_idx") % 7 != 0, F.col("mu")).alias("score"))
     out = select.acquire_batch(preds, seen, "ei", 3, BATCH, 0.2, seed=4)
-    return out.select("row_idx", F.round("mu", 6).alias("mu"), F.when(F.col("u") == float("inf"), -1.0).otherwise(F.round("u", 5)).alias("u"))
+    return out.select("row_idx", "mu", F.when(F.col("u") == float("inf"), -1.0).otherwise(F.round("u", 5)).alias("u"))
 
 
 @query(f"WITH {v.PREDS} SELECT row_idx, round({v.u(1)}, 9) AS first, round({v.u(2)}, 9) AS second FROM preds")

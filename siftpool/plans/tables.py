@@ -55,11 +55,10 @@ def cached_gather(spark: SparkSession, d: str) -> DataFrame:
     return align.fill_cache(e.filter("vec_id % 3 = 0"), e.filter("vec_id % 5 = 0").select("vec_id"), e, "vec_id").select("vec_id", _mix("embedding").alias("mix"))
 
 
-@query(f"WITH {v.POOL}, {v.PREDS}, {v.EXPLORED}, l AS (SELECT id, max(row_idx) AS row_idx FROM pool GROUP BY id) SELECT l.id, row_idx, round(mu, 6) AS mu FROM l JOIN preds USING (row_idx) WHERE l.id IN (SELECT id FROM explored)")
+@query(f"WITH {v.POOL}, {v.PREDS}, {v.EXPLORED}, l AS (SELECT id, max(row_idx) AS row_idx FROM pool GROUP BY id) SELECT l.id, row_idx, mu FROM l JOIN preds USING (row_idx) WHERE l.id IN (SELECT id FROM explored)")
 def rows_of_ids(spark: SparkSession, d: str) -> DataFrame:
     """Feature rows of labelled ids, by each id's last place in the pool."""
-    out = align.rows_of(v.explored(spark, d), v.pool(spark, d), v.preds(spark, d))
-    return out.select("id", "row_idx", F.round("mu", 6).alias("mu"))
+    return align.rows_of(v.explored(spark, d), v.pool(spark, d), v.preds(spark, d)).select("id", "row_idx", "mu")
 
 
 @query("SELECT count(*) AS compared, count(*) FILTER (vec_id % 3 = 0) AS differ FROM (SELECT vec_id FROM (SELECT vec_id, vec_id AS row_idx FROM embeddings) ORDER BY " + v.u(2) + ", vec_id LIMIT 20)")
@@ -83,12 +82,11 @@ def pending_chunks(spark: SparkSession, d: str) -> DataFrame:
     return align.pending(e, e.filter("vec_id % 40 = 0"), "chunk")
 
 
-@query(f"WITH {v.PREDS} SELECT row_idx, CASE WHEN row_idx // 300 = 2 THEN 0.0 ELSE round(mu, 6) END AS mu FROM preds")
+@query(f"WITH {v.PREDS} SELECT row_idx, CASE WHEN row_idx // 300 = 2 THEN 0.0 ELSE mu END AS mu FROM preds")
 def shard_gather(spark: SparkSession, d: str) -> DataFrame:
     """Predictions from each shard's worker; shard 2 is left out and gets zeros."""
     p = v.preds(spark, d).select("row_idx", "mu", F.floor(F.col("row_idx") / 300).alias("shard"))
-    out = align.gather_shards(p.drop("mu"), p.filter("shard != 2"), "row_idx", "mu", "shard", [2])
-    return out.select("row_idx", F.round("mu", 6).alias("mu"))
+    return align.gather_shards(p.drop("mu"), p.filter("shard != 2"), "row_idx", "mu", "shard", [2]).select("row_idx", "mu")
 
 
 @query("SELECT doc_id, max(source) AS source, CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END AS split FROM documents WHERE doc_id % 4 = 0 GROUP BY doc_id")
