@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ from ._text import mix
 
 UNIT, RUN, LEAST = 12, 3, 12
 _SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s|$)[^\n.!?]*)*(?:[.!?]+|\n|$)\s*")
-_WORD = re.compile(r"\S+\s*")
+#: White space by code point, as str.split has it; there is none beyond the last place.
+_SPACE = np.array([chr(i).isspace() for i in range(0x3002)])
 #: Stands for a null doc_id, so that rows without one come last.
 LAST = 2**63 - 1
 #: Run hashes sent to Spark at once.
@@ -40,17 +42,22 @@ _LOWER = np.uint64(2**32 - 1)
 _UPPER = ~_LOWER
 
 
-def _ends(words: list[str], closing: np.ndarray, size: int) -> list[int]:
-    """Places of the words that end a unit: of each window of `size` words, the last that closes a sentence, or else the one of the least hash.
+def _inner(words: list[str], closing: np.ndarray, size: int) -> np.ndarray:
+    """Places of the words that end a unit inside a sentence: in each window of `size` words of which none closes a sentence, the one of the least hash, and of several the last.
 
     What a window chooses depends on its own words alone, and so do all places
-    from the first to the last that windows inside a passage choose. They are
-    `size` words apart at most, the first within `size` words of the passage's start.
+    from the first to the last that windows inside a passage choose. With the
+    words that close sentences they are `size` words apart at most, the first
+    within `size` words of the passage's start. Words that lie in no such window are not hashed.
     """
+    lengths = closing - np.concatenate([[-1], closing[:-1]])
+    wide = lengths > size
+    if not wide.any():
+        return np.zeros(0, np.int64)
     n = len(words)
-    if n < size or not (np.diff(closing, prepend=-1) > size).any():
-        return closing.tolist()
-    least = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n) & _UPPER
+    open_ = np.repeat(wide, lengths)
+    least = np.full(n, _UPPER)
+    least[open_] = np.fromiter(map(xxhash.xxh3_64_intdigest, compress(words, open_.tolist())), np.uint64) & _UPPER
     least[closing] = 0
     least |= _LOWER - np.arange(n, dtype=np.uint64)
     span = 1
@@ -60,29 +67,28 @@ def _ends(words: list[str], closing: np.ndarray, size: int) -> list[int]:
         span += step
     chosen = np.zeros(n, bool)
     chosen[(_LOWER - (least & _LOWER)).astype(np.int64)] = True
-    chosen[closing] = True
-    return np.flatnonzero(chosen).tolist()
+    chosen[closing] = False
+    return np.flatnonzero(chosen)
 
 
 def units(text: str, size: int = UNIT) -> list[tuple[int, int, int, int]]:
     """(start, end, words, hash) of each unit; the units cover the text without gaps."""
-    out, words, sentences = [], [], []
-    for m in _SENTENCE.finditer(text):
-        if m[0]:
-            words += m[0].split()
-            sentences.append((m.start(), m.end(), len(words)))
-    full = [n for (_, _, n), (_, _, before) in zip(sentences, [(0, 0, 0), *sentences], strict=False) if n > before]
-    ends, k, first = _ends(words, np.array(full, np.int64) - 1, size), 0, 0
-    for begin, stop, last in sentences:
-        places = _WORD.finditer(text, begin, stop) if first < last and ends[k] < last - 1 else ()
-        for place, m in enumerate(places, first):
-            if place == ends[k] and place < last - 1:
-                out.append((begin, m.end(), place + 1 - first, xxhash.xxh3_64_intdigest(" ".join(words[first : place + 1]))))
-                begin, first, k = m.end(), place + 1, k + 1
-        out.append((begin, stop, last - first, xxhash.xxh3_64_intdigest(" ".join(words[first:last]))))
-        k += first < last
-        first = last
-    return out
+    if not text:
+        return []
+    words = text.split()
+    space = _SPACE.take(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), mode="clip")
+    edge = ~space
+    edge[1:] &= space[:-1]
+    starts = np.flatnonzero(edge)
+    stops = np.array([m.end() for m in _SENTENCE.finditer(text) if m.end() > m.start()])
+    last = np.searchsorted(starts, stops)
+    inner = _inner(words, last[last > np.concatenate([[0], last[:-1]])] - 1, size)
+    if len(inner):  # such a unit ends where the next word starts
+        stops = np.sort(np.concatenate([stops, starts[inner + 1]]), kind="stable")
+        last = np.searchsorted(starts, stops)
+    stop, after = stops.tolist(), last.tolist()
+    digest = xxhash.xxh3_64_intdigest
+    return [(i, j, n - m, digest(" ".join(words[m:n]))) for i, j, m, n in zip([0, *stop], stop, [0, *after], after, strict=False)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +115,8 @@ def runs(found: list[tuple[int, int, int, int]], run: int = RUN, least: int = LE
     ahead = np.maximum(start + run, np.searchsorted(total, total[:-1] + least))
     back = np.minimum(start + 1 - run, np.searchsorted(total, total[1:] - least, "right") - 1)
     fits, has = ahead <= n, back >= 0
-    pairs = np.unique(np.concatenate([start[fits] * (n + 1) + ahead[fits], back[has] * (n + 1) + start[has] + 1]))
+    has &= ahead[np.maximum(back, 0)] != start + 1  # not met going ahead
+    pairs = np.sort(np.concatenate([start[fits] * (n + 1) + ahead[fits], back[has] * (n + 1) + start[has] + 1]), kind="stable")
     i, j = pairs // (n + 1), pairs % (n + 1)
     power, inverse = _powers(n)
     prefix = np.zeros(n + 1, np.uint64)
