@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pyspark.sql.functions as F
 import pytest
+import xxhash
 
 from siftpool.llm import bpe, cotrain, decontam, exact, htmlcut, langid, neardup, queries, secrets, sharding, spans
 
@@ -172,6 +174,31 @@ def test_spans_find_a_passage_without_sentences_at_any_word():
         assert removed >= 3 and len(text.split()) < 30 + k and text.startswith(two.split(" ")[0])
 
 
+def plain_units(text, size):
+    """Units by definition: the word that each window of `size` words chooses ends one, unless it closes a sentence, which does so anyway."""
+    words = [(m.start(), m[0]) for m in re.finditer(r"\S+", text)]
+    stops = [m.end() for m in spans._SENTENCE.finditer(text) if m[0]]
+    counts = [sum(at < stop for at, _ in words) for stop in stops]
+    closing = {n - 1 for n, before in zip(counts, [0, *counts], strict=False) if n > before}
+    for low in range(len(words) - size + 1):
+        window = range(low, low + size)
+        if closing.isdisjoint(window):
+            chosen = min(window, key=lambda k: (xxhash.xxh3_64_intdigest(words[k][1]) >> 32, -k))
+            stops.append(words[chosen + 1][0])
+    stops = sorted(set(stops))
+    held = [[w for at, w in words if begin <= at < stop] for begin, stop in zip([0, *stops], stops, strict=False)]
+    return [(begin, stop, len(own), xxhash.xxh3_64_intdigest(" ".join(own))) for begin, stop, own in zip([0, *stops], stops, held, strict=False)]
+
+
+def test_span_units_against_plain_windows():
+    draw = random.Random(7)
+    for _ in range(400):
+        text = "".join(draw.choice("aab  .!?\n\t\u3000\x85\u00a0\x1cé\U0001f600") for _ in range(draw.randrange(160)))
+        for size in (2, 3, 12):
+            assert spans.units(text, size) == plain_units(text, size)
+    assert spans.units("") == []
+
+
 def test_spans_find_a_passage_of_51_words_at_every_offset():
     def text(name, words, length, lead):
         return [f"{name}{i * 7919 % 10007}" + "." * ((i + lead) % length == length - 1) for i in range(words)]
