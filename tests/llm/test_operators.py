@@ -949,6 +949,22 @@ def test_pipeline_stages(spark):
     assert set(final) == ids[4]
 
 
+def test_pipeline_stages_odd_rows(spark, odd):
+    import corpus_pipeline as cp
+
+    clash = ("quality_score", "kept", "keep_id", "group_size", "component_id", "n_shingles", "n_tokens", "_row", "_h", "_id")
+    docs = odd.withColumn("n_chars", F.length("text")).select("*", *[F.lit(c).alias(c) for c in clash])
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, SMALL)
+        rows = out.collect()
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+        if name != "tokens":
+            assert out.dtypes == docs.dtypes
+            assert not Counter(map(repr, rows)) - Counter(map(repr, docs.collect()))
+        else:
+            assert len(rows) == docs.count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_against_sql(spark, name):
     duck = duckdb.connect()
